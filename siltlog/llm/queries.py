@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, mixing, sharding
+from . import chat, compression_rules, langid, line_dedup, mixing, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,14 @@ def op1_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op4_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_centroid_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op7_chat_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = r"\### Assistant: </turn> ok"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(own).alias("text"))
@@ -33,8 +41,12 @@ def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_table(spark, sf_dir, "documents"))
 
 
+def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression_rules.rate(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_hilbert_sharding, op7_chat_fingerprint, op8_line_chunks, op9_pfair_mixing]
+    own = [op1_hilbert_sharding, op4_rff_quality, op6_centroid_langid, op7_chat_fingerprint, op8_line_chunks, op9_pfair_mixing, op10_compression_bands]
     return {f.__name__: f for f in own}
 
 

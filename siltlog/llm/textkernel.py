@@ -50,7 +50,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(column: pa.Array, limit: int = 1 << 21):
+def slices(column: pa.Array, limit: int = 1 << 21, rows: int = 1 << 20):
     """Yields (first row, last row + 1, bytes, offsets into these bytes) over a string column."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -65,7 +65,7 @@ def slices(column: pa.Array, limit: int = 1 << 21):
     data = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, dtype=np.uint8)
     lo = 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1))
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
 
@@ -109,3 +109,55 @@ def inside(w: Words, k: int) -> np.ndarray:
         cut = w.first[1:-1] - j
         ok[cut[(cut >= 0) & (cut < n)]] = False
     return ok
+
+
+def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The lines that hold a word: text_of, hashes (of all their bytes), byte lengths, last bytes. Only \\n ends a line."""
+    n = len(data)
+    if not n:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none.astype(np.uint64), none, none.astype(np.uint8)
+    breaks = np.flatnonzero(data == 10)
+    starts = np.union1d(breaks + 1, offsets[:-1])
+    starts = starts[starts < n]
+    text_of = np.searchsorted(offsets, starts, "right") - 1
+    at = np.searchsorted(breaks, starts)
+    ends = np.minimum(np.append(breaks, n)[at], offsets[text_of + 1])
+    solid = np.zeros(n + 1, dtype=np.int64)
+    np.cumsum(~_SPACE[data], out=solid[1:])
+    some = solid[ends] > solid[starts]
+    starts, ends, text_of = starts[some], ends[some], text_of[some]
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(PLAIN[data] * _power(_BASE, n), out=sums[1:])
+    return text_of, mix((sums[ends] - sums[starts]) * _power(_UNBASE, n)[starts]), ends - starts, data[ends - 1]
+
+
+def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sum of byte flags within each text."""
+    sums = np.zeros(len(flags) + 1, dtype=np.int64)
+    np.cumsum(flags, out=sums[1:])
+    return sums[offsets[1:]] - sums[offsets[:-1]]
+
+
+def again(keys: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(not the first of its key in its text, one of two or more), for keys in the order of the texts."""
+    whole = mix(keys ^ (text_of.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(whole, kind="stable")
+    same = whole[order][1:] == whole[order][:-1]
+    later, shared = np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=bool)
+    later[order[1:]] = same
+    shared[order[1:]] = same
+    shared[order[:-1]] |= same
+    return later, shared
+
+
+def repeated_words(w: Words, k: int) -> np.ndarray:
+    """For each text the number of words in k-word windows that are found twice or more in it."""
+    ok = inside(w, k)
+    at = np.flatnonzero(ok)
+    texts = w.text_of
+    _, shared = again(grams(w.hashes, k)[at], texts[at]) if len(at) else (None, np.zeros(0, dtype=bool))
+    cover = np.zeros(len(w.hashes) + 1, dtype=np.int64)
+    np.add.at(cover, at[shared], 1)
+    np.add.at(cover, at[shared] + k, -1)
+    return per_text(np.cumsum(cover[:-1]) > 0, w.first)
