@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, compression_rules, langid, line_dedup, mixing, quality, sharding
+from . import chat, compression_rules, langid, line_dedup, mixing, quality, sharding, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op4_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_fm_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(substring_dedup.dedup_passages(_table(spark, sf_dir, "documents")))
+
+
 def op6_centroid_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_hilbert_sharding, op4_rff_quality, op6_centroid_langid, op7_chat_fingerprint, op8_line_chunks, op9_pfair_mixing, op10_compression_bands]
+    own = [op1_hilbert_sharding, op4_rff_quality, op5_fm_passages, op6_centroid_langid, op7_chat_fingerprint, op8_line_chunks, op9_pfair_mixing, op10_compression_bands]
     return {f.__name__: f for f in own}
 
 
