@@ -162,6 +162,20 @@ def shard_masks(tokens: list[np.ndarray], key: np.ndarray, windows: np.ndarray,
     return out
 
 
+def _runs(rows: np.ndarray, d: np.ndarray, v: np.ndarray, at: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Joins adjacent segments of a document, up to 61 windows: (first segment of each run, windows of the run)."""
+    rows = rows[np.lexsort((at[rows], v[rows], d[rows]))]
+    if not len(rows):
+        return rows, rows
+    a, b = rows[:-1], rows[1:]
+    new = np.concatenate([[True], (d[a] != d[b]) | (v[a] != v[b]) | (at[a] + windows[a] != at[b])])
+    inner = np.cumsum(windows[rows]) - windows[rows]
+    part = (inner - np.maximum.accumulate(np.where(new, inner, 0))) // 45
+    new[1:] |= part[1:] != part[:-1]
+    first = np.flatnonzero(new)
+    return rows[first], np.add.reduceat(windows[rows], first)
+
+
 def _binary(flat: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> pa.Array:
     """Binary values with the lowest TOKEN bytes of flat[at], `lengths` words in each."""
     raw = np.ascontiguousarray(flat[at]).view(np.uint8).reshape(-1, 8)[:, :TOKEN]
@@ -229,7 +243,9 @@ def route_segments(docs: DataFrame, window: int) -> DataFrame:
                 head = order[np.concatenate([[True], ~same])] if len(order) else order
                 tail = order[1:][same & ~twin]
                 lengths = windows[head] + window - 1
-                cols = [[x[head], x[tail]] for x in (route, d, v, at, windows)]
+                tail, sums = _runs(tail, d, v, at, windows)
+                spread = tk.mix(d[tail].view(np.uint64) ^ at[tail].astype(np.uint64)).view(np.int64)
+                cols = [[route[head], spread], [d[head], d[tail]], [v[head], v[tail]], [at[head], at[tail]], [windows[head], sums]]
                 kinds = (np.int64, np.int64, np.int32, np.int32, np.int32)
                 tokens = _binary(w.hashes, _ranges(start[head], lengths), lengths)
                 made = [pa.array(np.concatenate(c).astype(k)) for c, k in zip(cols, kinds)]
