@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, compression_rules, jaccard_join, langid, line_dedup, mixing, quality, sharding, substring_dedup
+from . import chat, compression_rules, decontaminate, jaccard_join, langid, line_dedup, mixing, quality, sharding, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op2_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_grouped_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar(_table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_hilbert_sharding, op3_grouped_jaccard, op4_rff_quality, op5_fm_passages, op6_centroid_langid, op7_chat_fingerprint, op8_line_chunks, op9_pfair_mixing, op10_compression_bands]
+    own = [op1_hilbert_sharding, op2_latent_decontamination, op3_grouped_jaccard, op4_rff_quality, op5_fm_passages, op6_centroid_langid, op7_chat_fingerprint, op8_line_chunks, op9_pfair_mixing, op10_compression_bands]
     return {f.__name__: f for f in own}
 
 
