@@ -4,12 +4,318 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from .functions import checksum
+from .functions import records as fr
+from .operators import maintain, reads, segments, state, stats
+from .sources.adapters import event_log, item_records, table
+from .streaming import fold as streaming
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+# SQL of the adapters, for the comparisons.
+LOG = """log as (select event_id as seq, 'user-' || user_id as key, case event_type when 'click' then 'write' when 'view' then 'append' when 'purchase' then 'write' else 'remove' end as op,
+  case when event_type = 'purchase' then 4 else 0 end as off, event_type || ':' || props as data from events where event_type <> 'signup')"""
+STATE = LOG + """, st as (select key, list_reduce(list({'s': seq, 'op': op, 'off': off, 'd': data} order by seq), lambda a, o: {'s': o.s, 'op': case when o.op = 'remove' then 'gone' else 'live' end, 'off': 0,
+  'd': case when o.op = 'remove' then '' when o.op = 'append' then a.d || o.d else rpad(a.d, o.off::int, chr(0)) || o.d end}, {'s': 0::bigint, 'op': 'gone', 'off': 0, 'd': ''}) as v from log group by key),
+  cur as (select key, v.d as data, length(v.d)::bigint as data_size from st where v.op = 'live')"""
+RECORDS = """rec as (select base, idx, key, flags, data_size, data_size + 96 + case when data_size = 0 then 0 else ((data_size - 1) // 1048576 + 2) * 8 end as disk_size from (
+  select l_orderkey // 1000 as base, row_number() over (partition by l_orderkey // 1000 order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) - 1 as idx,
+  l_orderkey || '-' || l_linenumber as key, case when l_returnflag = 'R' then 1 else 256 end::bigint as flags, l_quantity::bigint * 10 as data_size from lineitem))"""
+STATS = RECORDS + """, bs as (select base, count(*) as records_total, count(*) filter (where flags & 1 <> 0) as records_removed, coalesce(sum(disk_size + 96) filter (where flags & 1 <> 0), 0)::bigint as records_removed_size, sum(disk_size + 96)::bigint as base_size from rec group by base)"""
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _log(spark, sf, machine=False):
+    return event_log(table(spark, sf, "events"), machine)
+
+
+def _state(spark, sf):
+    return state.current(_log(spark, sf)).withColumn("data", F.decode("data", "UTF-8"))
+
+
+def _records(spark, sf):
+    return item_records(table(spark, sf, "lineitem"))
+
+
+@query(f"with {STATE} select key, data, data_size from cur")
+def current_state(spark, sf):
+    return _state(spark, sf).select("key", "data", "data_size")
+
+
+MACHINE = """log as (select event_id as seq, 'user-' || user_id as key, case event_type when 'click' then 'write' when 'view' then 'append' when 'error' then 'remove' when 'purchase' then 'commit' else case when event_id % 2 <> 0 then 'plain_write' else 'prepare' end end as op, event_type || ':' || props as d from events),
+  st as (select key, list_reduce(list({'op': op, 'd': d, 'n': 0::bigint, 'e': 0::bigint} order by seq), lambda a, o: {
+  'op': case o.op when 'remove' then 'absent' when 'prepare' then 'uncommitted' when 'plain_write' then a.op when 'commit' then case when a.op = 'uncommitted' then 'committed' else a.op end else 'committed' end,
+  'd': case o.op when 'write' then o.d when 'append' then case when a.op = 'uncommitted' then left(a.d, a.n::int) else a.d end || o.d when 'remove' then '' when 'prepare' then a.d
+    when 'plain_write' then case when a.op = 'uncommitted' then o.d || substr(a.d, length(o.d)::int + 1) else a.d end else case when a.op = 'uncommitted' then left(a.d, a.n::int) else a.d end end,
+  'n': case when o.op = 'prepare' then case when a.op = 'uncommitted' then a.n else length(a.d)::bigint end when o.op = 'plain_write' and a.op = 'uncommitted' then a.n else 0 end,
+  'e': a.e + case when o.op in ('plain_write', 'commit') and a.op <> 'uncommitted' then 1 when o.op = 'remove' and a.op = 'absent' then 1 else 0 end},
+  {'op': 'absent', 'd': '', 'n': 0::bigint, 'e': 0::bigint}) as v from log group by key)"""
+
+
+@query(f"with {MACHINE} select key, v.op as kind, v.d as buffer, v.n as reserved_length, v.e as n_errors from st")
+def state_machine(spark, sf):
+    s = state.fold(_log(spark, sf, True))
+    return s.select("key", F.col("state.kind").alias("kind"), F.decode("state.buf", "UTF-8").alias("buffer"), F.col("state.n").alias("reserved_length"), F.size("state.errors").cast("long").alias("n_errors"))
+
+
+@query(f"with {MACHINE} select sum(v.e)::bigint as n_errors, count(*) filter (where v.e > 0) as n_keys from st")
+def op_errors(spark, sf):
+    return state.errors(_log(spark, sf, True)).agg(F.count(F.lit(1)).alias("n_errors"), F.countDistinct("key").alias("n_keys"))
+
+
+@query(f"with {LOG} select key, op, error_free from (select key, op, true as error_free, row_number() over (partition by key order by seq desc) as r from log) where r = 1")
+def latest_version(spark, sf):
+    return state.latest_version(_log(spark, sf), ["key"], [F.col("seq").desc()]).where("version_rank = 1").select("key", "op", F.lit(True).alias("error_free"))
+
+
+@query(f"with {LOG} select key, seq, version_rank from (select key, seq, row_number() over (partition by key order by seq desc) as version_rank from log) where version_rank > 1")
+def superseded_versions(spark, sf):
+    return state.latest_version(_log(spark, sf), ["key"], [F.col("seq").desc()]).where("version_rank > 1").select("key", "seq", F.col("version_rank").cast("long").alias("version_rank"))
+
+
+@query("select o_orderkey, o_custkey, o_totalprice from orders where o_orderkey = 7")
+def point_lookup(spark, sf):
+    return reads.lookup(table(spark, sf, "orders").withColumnRenamed("o_orderkey", "key"), 7).select(F.col("key").alias("o_orderkey"), "o_custkey", "o_totalprice")
+
+
+@query(f"with {STATE} select key, data_size from cur where key in (select 'user-' || c_custkey from customer where c_custkey % 3 = 0)")
+def multi_get(spark, sf):
+    keys = table(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("user-"), F.col("c_custkey")).alias("key"))
+    return reads.multi_get(_state(spark, sf), keys).select("key", "data_size")
+
+
+@query(f"with {STATE} select key from (select 'user-' || c_custkey as key from customer) k where not exists (select 1 from cur where cur.key = k.key)")
+def missing_keys(spark, sf):
+    return reads.missing(_state(spark, sf), table(spark, sf, "customer").select(F.concat(F.lit("user-"), F.col("c_custkey")).alias("key")))
+
+
+@query(f"with {STATE} select key, case when data_size > 3 then substr(data, 4, 10) end as slice, case when data_size <= 3 then 'E2BIG' end as error from cur")
+def read_slice(spark, sf):
+    part, error = reads.read_slice(F.encode("data", "UTF-8"), 3, 10)
+    return _state(spark, sf).select("key", F.decode(part, "UTF-8").alias("slice"), error.alias("error"))
+
+
+@query("select o_orderkey, o_totalprice from orders where o_orderkey between 100 and 900 order by o_orderkey limit 50 offset 20")
+def range_read_limit(spark, sf):
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), "o_totalprice")
+    return reads.read_range(rows, 100, 900, 20, 50).withColumnRenamed("key", "o_orderkey")
+
+
+@query("select distinct sha256('user-' || user_id) as key from events where (sha256('user-' || user_id) between '00' and '40') or (sha256('user-' || user_id) between 'c0' and 'f0')")
+def multi_range_scan(spark, sf):
+    keys = table(spark, sf, "events").select("user_id").distinct().select(F.sha2(F.concat(F.lit("user-"), F.col("user_id")), 256).alias("key"))
+    return reads.multi_range(keys, [("00", "40"), ("c0", "f0")])
+
+
+@query("select count(*) as n, sum(o_orderkey)::bigint as s from orders where (o_orderkey % 100 <= 10) and o_orderkey // 100 < 90")
+def many_ranges_scan(spark, sf):
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"))
+    return reads.multi_range(rows, [(100 * i, 100 * i + 10) for i in range(90)]).agg(F.count(F.lit(1)).alias("n"), F.sum("key").alias("s"))
+
+
+@query(f"with {RECORDS} select base, idx, key, data_size from rec where flags & 1 = 0")
+def scan_live_headers(spark, sf):
+    return reads.scan(_records(spark, sf)).select("base", "idx", "key", "data_size")
+
+
+@query(f"with {RECORDS} select base, idx, key, flags from rec where base >= 2 and base < 5")
+def scan_base_window(spark, sf):
+    return reads.scan(_records(spark, sf), True, (2, 5)).select("base", "idx", "key", "flags")
+
+
+@query("select doc_id, n_chars from documents where starts_with(sha256(doc_id::varchar), 'a')")
+def prefix_scan(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", "n_chars", F.sha2(F.col("doc_id").cast("string"), 256).alias("key"))
+    return reads.prefix(rows, "a").select("doc_id", "n_chars")
+
+
+@query("select doc_id from documents where regexp_matches(text, '[A-Za-z0-9]+@[a-z]+')")
+def regex_scan(spark, sf):
+    return reads.matching(table(spark, sf, "documents"), "[A-Za-z0-9]+@[a-z]+", "text").select("doc_id")
+
+
+@query("select c_custkey, sha256(c_name) as key_hex from customer")
+def hashed_key(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", F.sha2("c_name", 256).alias("key_hex"))
+
+
+@query()
+def hashed_key_sha512(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", fr.key_of(F.col("c_name")).alias("key"), fr.hex_of(fr.key_of(F.col("c_name"))).alias("key_hex"))
+
+
+@query(f"with {RECORDS} select count(*) as total, count(*) filter (where flags & 1 <> 0) as removed from rec")
+def index_info(spark, sf):
+    return _records(spark, sf).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("flags").bitwiseAND(F.lit(1)) != 0).alias("removed"))
+
+
+@query(f"with {STATS} select * from bs")
+def base_stats(spark, sf):
+    return stats.base_stats(_records(spark, sf))
+
+
+@query(f"with {STATS} select * from bs union all select null, sum(records_total)::bigint, sum(records_removed)::bigint, sum(records_removed_size)::bigint, sum(base_size)::bigint from bs")
+def stats_rollup(spark, sf):
+    return stats.with_summary(_records(spark, sf))
+
+
+@query(f"with {LOG} select count(*) filter (where op in ('write', 'append')) as writes_number, coalesce(sum(length(data)) filter (where op in ('write', 'append')), 0)::bigint as writes_size, count(*) filter (where op = 'remove') as removes_number from log")
+def global_stats(spark, sf):
+    return stats.global_stats(_log(spark, sf))
+
+
+@query(f"with {STATS} select base, records_total, base_size from bs")
+def stats_json(spark, sf):
+    kind = "struct<records_total:bigint,base_size:bigint>"
+    return stats.stats_json(_records(spark, sf)).select("base", F.from_json("json", kind).alias("j")).select("base", "j.*")
+
+
+DEFRAG = STATS + """, wd as (select base, case when base = max(base) over () then 0 when records_total = records_removed then 2 when records_removed_size >= base_size * 25 // 100 then 1
+  when base_size - records_removed_size < 100000 then 3 else 0 end as code, base_size, records_total - records_removed as live from bs)"""
+
+
+def _decisions(spark, sf):
+    s = stats.base_stats(_records(spark, sf)).select("base", F.col("records_total").alias("total"), F.col("records_removed").alias("removed"), F.col("base_size").alias("size"), F.col("records_removed_size").alias("removed_size"))
+    return maintain.want_defrag(s.withColumn("index_size", F.col("total") * 96), 1_000_000)
+
+
+@query(f"with {DEFRAG} select base, code, case code when 0 then 'not_needed' when 1 then 'needed' when 2 then 'can_be_removed' else 'can_be_merged' end as decision from wd")
+def want_defrag(spark, sf):
+    return _decisions(spark, sf).select("base", "code", "decision")
+
+
+@query(f"""with recursive {DEFRAG}, c as (select base, base_size as z, live, row_number() over (order by base) as r from wd),
+  g as (select r, base, 0::bigint as grp, z::hugeint as z, live::hugeint as n from c where r = 1 union all
+  select c.r, c.base, case when c.live = 0 or (g.n + c.live <= 9000 and g.z + c.z <= 3000000) then g.grp else g.grp + 1 end, case when c.live = 0 or (g.n + c.live <= 9000 and g.z + c.z <= 3000000) then g.z + c.z else c.z end,
+  case when c.live = 0 or (g.n + c.live <= 9000 and g.z + c.z <= 3000000) then g.n + c.live else c.live end from g join c on c.r = g.r + 1)
+  select base, grp from g""")
+def defrag_groups(spark, sf):
+    return maintain.pack(_decisions(spark, sf).select("base", "size", (F.col("total") - F.col("removed")).alias("live")), 3_000_000, 9000)
+
+
+@query("select o_orderkey, (row_number() over (order by o_orderkey) - 1) // 700 as base from orders")
+def segment_by_count(spark, sf):
+    return segments.by_count(table(spark, sf, "orders").select("o_orderkey"), F.expr("o_orderkey div 5000"), ["o_orderkey"], 700).select("o_orderkey", "base")
+
+
+@query("""with s as (select o_orderkey // 1000 as stream, list({'o': o_orderkey, 'z': o_totalprice::bigint, 'b': 0::bigint, 'u': 0::bigint} order by o_orderkey) as r from orders group by 1),
+  f as (select stream, list_reduce(r, lambda a, o: list_append(a, {'o': o[1].o, 'z': o[1].z, 'b': case when a[-1].u >= 1000000 then a[-1].b + 1 else a[-1].b end, 'u': case when a[-1].u >= 1000000 then o[1].z else a[-1].u + o[1].z end}), [{'o': -1::bigint, 'z': 0::bigint, 'b': 0::bigint, 'u': 0::bigint}]) as x from (select stream, list_transform(r, lambda e: [e]) as r from s))
+  select stream, y.o as o_orderkey, y.b as base from (select stream, unnest(x[2:]) as y from f)""")
+def segment_by_bytes(spark, sf):
+    rows = table(spark, sf, "orders").select(F.expr("o_orderkey div 1000").alias("stream"), "o_orderkey", F.round("o_totalprice").cast("long").alias("z"))
+    return segments.by_bytes(rows, ["stream"], "o_orderkey", "z", 1_000_000)
+
+
+@query(f"with {RECORDS} select base, idx, (sum(disk_size) over (partition by base order by idx) - disk_size)::bigint as position from rec")
+def record_positions(spark, sf):
+    return segments.positions(_records(spark, sf)).select("base", "idx", "position")
+
+
+@query(f"with {RECORDS} select base, n // 40 as block, min(key) as start_key, max(key) as end_key, count(*) as n from (select base, key, row_number() over (partition by base order by key, idx) - 1 as n from rec) group by 1, 2")
+def index_blocks(spark, sf):
+    return segments.blocks(_records(spark, sf))
+
+
+@query(f"with {RECORDS} select base, idx, key, p as previous_key from (select base, idx, key, lag(key) over (partition by base order by idx) as p from rec) where p > key")
+def sort_check(spark, sf):
+    return segments.unsorted_at(_records(spark, sf)).select("base", "idx", "key", "previous_key")
+
+
+@query(f"with {RECORDS} select base, key, count(*) as n from rec group by 1, 2 having count(*) > 1")
+def duplicate_keys(spark, sf):
+    return segments.duplicates(_records(spark, sf))
+
+
+@query(f"with {RECORDS} select base, idx, key from rec where flags & 1 = 0 and key not in (select o_orderkey || '-1' from orders where o_orderstatus = 'F')")
+def compact_live(spark, sf):
+    gone = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.concat(F.col("o_orderkey"), F.lit("-1")).alias("key"))
+    return maintain.compact(_records(spark, sf), gone).select("base", "idx", "key")
+
+
+@query(f"with {RECORDS} select base, idx, row_number() over (partition by base order by key, flags & 1 desc, idx) - 1 as pos from rec")
+def index_sort(spark, sf):
+    return maintain.index_order(_records(spark, sf)).select("base", "idx", F.col("pos").cast("long").alias("pos"))
+
+
+MERGE = RECORDS + """, p as (select *, (sum(disk_size) over (partition by base order by idx) - disk_size)::bigint as position, (sum(disk_size) over (partition by base) - case when base % 2 = 0 then 200 else 0 end)::bigint as file_size from rec),
+  m as (select *, case when (disk_size < data_size + 96 and disk_size <> 96) or position + disk_size > file_size then 'broken' when flags & 1 <> 0 then 'removed' when disk_size <= 96 then 'broken' else 'written' end as class from p)"""
+
+
+def _merge_input(spark, sf):
+    p = segments.positions(_records(spark, sf))
+    size = F.sum("disk_size").over(Window.partitionBy("base")) - F.when(F.col("base") % 2 == 0, 200).otherwise(0)
+    return p.withColumn("file_size", size).withColumn("input", F.col("base")).withColumn("target", F.expr("base div 4"))
+
+
+@query(f"with {MERGE} select base // 4 as target, key, base, idx, (sum(disk_size) over (partition by base // 4 order by key, base, idx) - disk_size)::bigint as new_position from m where class = 'written'")
+def merge_bases(spark, sf):
+    return maintain.merge(_merge_input(spark, sf)).select("target", "key", "base", "idx", "new_position")
+
+
+@query(f"with {MERGE} select class, count(*) as n from m group by 1")
+def merge_report(spark, sf):
+    return maintain.merge_class(_merge_input(spark, sf)).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {MERGE} select v as validity, count(*) as n from (select case when data_size = 0 and disk_size = 0 then 'hole' when disk_size < data_size + 96 then 'short' when position + disk_size > file_size then 'outside' else 'ok' end as v from m) group by 1")
+def validity_report(spark, sf):
+    v = fr.validity(*(F.col(c) for c in ("data_size", "disk_size", "position", "file_size", "flags")))
+    return _merge_input(spark, sf).groupBy(v.alias("validity")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select o_orderkey, o_orderstatus, n from (select o.o_orderkey, o.o_orderstatus, count(l_orderkey) as n, case when min(l_linestatus) = max(l_linestatus) then min(l_linestatus) else 'P' end as s from orders o join lineitem on l_orderkey = o_orderkey group by 1, 2) where s is distinct from o_orderstatus")
+def header_mismatch(spark, sf):
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"), F.min("l_linestatus").alias("a"), F.max("l_linestatus").alias("b"))
+    s = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("P")
+    return table(spark, sf, "orders").join(lines, "o_orderkey").where(~s.eqNullSafe(F.col("o_orderstatus"))).select("o_orderkey", "o_orderstatus", "n")
+
+
+@query("select doc_id, case when strlen(text) = 0 then 0 else ((strlen(text) - 1) // 1048576 + 2) * 8 end::bigint as footer, (96 + strlen(text) + case when strlen(text) = 0 then 0 else ((strlen(text) - 1) // 1048576 + 2) * 8 end)::bigint as disk_size from documents")
+def footer_size(spark, sf):
+    n = F.octet_length("text").cast("long")
+    return table(spark, sf, "documents").select("doc_id", fr.footer_size(n).alias("footer"), fr.disk_size(n).alias("disk_size"))
+
+
+@query("select p_partkey, '0x' || lower(hex(f)) || ' [' || array_to_string(list_filter([case when f & 1 <> 0 then 'remove' end, case when f & 2 <> 0 then 'nocsum' end, case when f & 4 <> 0 then 'compress' end, case when f & 8 <> 0 then 'write_return' end, case when f & 16 <> 0 then 'append' end, case when f & 32 <> 0 then 'overwrite' end, case when f & 64 <> 0 then 'exthdr' end, case when f & 128 <> 0 then 'uncommitted' end, case when f & 256 <> 0 then 'chunked_csum' end], lambda x: x is not null), '|') || ']' as flags from (select p_partkey, (p_partkey % 512)::bigint as f from part)")
+def flag_render(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", fr.render_flags((F.col("p_partkey") % 512).cast("long")).alias("flags"))
+
+
+@query("select l_orderkey, min(l_linenumber * 100)::bigint as start_offset, max(l_linenumber * 100 + l_quantity::bigint)::bigint as end_offset, count(*) between 1 and 128 as accepted from lineitem group by 1")
+def iovec_bounds(spark, sf):
+    start = (F.col("l_linenumber") * 100).cast("long")
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.min(start).alias("start_offset"), F.max(start + F.col("l_quantity").cast("long")).alias("end_offset"), F.count(F.lit(1)).between(1, 128).alias("accepted"))
+
+
+@query("select doc_id, true as ok from documents")
+def verify_checksum(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data"))
+    stored = docs.withColumn("chunks", checksum.chunk_hashes("data")).withColumn("final", checksum.final_hash("data"))
+    return stored.select("doc_id", checksum.verify(F.col("data"), F.col("chunks"), F.lit(256), F.col("final")).alias("ok"))
+
+
+@query(f"with {STATE} select key, data, data_size from cur")
+def stream_current_state(spark, sf):
+    return streaming.current_from_stream(spark, table(spark, sf, "events").schema, f"{sf}/events.parquet").withColumn("data", F.decode("data", "UTF-8"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
