@@ -5,7 +5,8 @@ the lines when text is inserted before them. A chunk of two lines or more that o
 its first occurrence (smallest doc_id, then line) stays. Chunks are found by hash and compared byte for byte before
 anything is removed.
 
-Shuffles: hashes of chunks (aggregated first), chunks with a repeated hash, and at last the documents with a removal.
+Shuffles: hashes of chunks (aggregated first), all chunks once, those with a repeated hash (written, as they are few and
+read twice), and at last the documents.
 A chunk that a third of all documents share is one row for each task after the first aggregation.
 
 Defined cases: a null text stays null and has no lines; an empty text is one empty line; single-line chunks always stay;
@@ -17,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Modulus and base of the rolling hash: products stay below 2^63.
 PRIME, BASE = (1 << 31) - 1, 1_103_515_245 % ((1 << 31) - 1)
 
@@ -45,7 +48,7 @@ def repeated_chunks(documents: DataFrame, divisor: int = 4, window: int = 3, min
     texts = F.transform(many, lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), F.array_join(F.slice("lines", c["start"] + 1, c["n"]), "\n").alias("chunk")))
     each = with_chunks(documents, divisor, window).select("doc_id", F.inline(texts)).withColumn("key", F.xxhash64("chunk"))
     hot = each.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
-    suspects = each.join(hot, "key")
+    suspects = written(each.join(hot, "key"), "suspects")
     firsts = suspects.groupBy("key", "chunk").agg(F.min(F.struct("doc_id", "start")).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     at = F.struct("doc_id", "start")
     return suspects.join(firsts.select("key", "chunk", "_first"), ["key", "chunk"]).where(at != F.col("_first")).select("doc_id", "start", "n")
