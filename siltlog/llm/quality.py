@@ -25,7 +25,6 @@ from .common import fold_of, written
 
 CLASSES = {"symbol": b"#*$%&|<>", "mark": b"!?~^_=@{}[]\\/", "point": b".,;:", "digit": b"0123456789", "upper": bytes(range(65, 91)), "lower": bytes(range(97, 123)), "blank": b" \t", "newline": b"\n"}
 FEATURES = ("chars", "words", "mean_word", "long_word", "short_words", "distinct_words", "top_word", "repeat_words", "title_words", "plain_ends", "lines", "dup_lines", "mean_line", "ended_lines", "other_bytes", "packed", *CLASSES)
-SCHEMA = "doc_id long, x array<double>"
 _CLASS = {k: np.isin(np.arange(256), list(v)) for k, v in CLASSES.items()}
 
 
@@ -63,16 +62,19 @@ def statistics(data: np.ndarray, offsets: np.ndarray, packer) -> np.ndarray:
     return np.stack(cols, axis=1)
 
 
-def with_statistics(documents: DataFrame) -> DataFrame:
+def with_statistics(documents: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of `more` (long), x."""
+    names = ["doc_id", *more]
+
     def run(batches):
         packer = zstandard.ZstdCompressor(level=1, write_content_size=False)
         for batch in batches:
-            for lo, hi, data, offsets in tk.slices(batch.column(1)):
+            for lo, hi, data, offsets in tk.slices(batch.column(len(names))):
                 x = statistics(data, offsets, packer)
                 flat = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), flat], names=["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(len(names))), flat], names=[*names, "x"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return documents.select(*names, "text").mapInArrow(run, ", ".join([*(f"{c} long" for c in names), "x array<double>"]))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -156,17 +158,17 @@ def fit(labelled: DataFrame, width: int = 256, gamma: float = 0.02, ridge: float
     return model
 
 
-def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
-    """doc_id, held_out, score, predicted. Learns from labels.quality outside the fold 0 of 5; fold 4 calibrates."""
+def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, more: tuple[str, ...] = (), **options) -> DataFrame:
+    """doc_id, the columns of `more` (long), held_out, score, predicted. Learns from labels.quality outside the fold 0 of 5; fold 4 calibrates."""
     told = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg("quality").alias("y"))
     told = told.withColumn("_fold", fold_of("doc_id", 5)).where("_fold <> 0").select("doc_id", "y", (F.col("_fold") == 4).cast("int").alias("part"))
-    x = written(with_statistics(documents), "statistics")
+    x = written(with_statistics(documents, more), "statistics")
     model = fit(x.join(told, "doc_id").select("x", "y", "part"), **options)
 
     def run(batches):
         for batch in batches:
-            score = model.score(_matrix(batch.column(1))) if model else np.full(len(batch), 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            score = model.score(_matrix(batch.column(1 + len(more)))) if model else np.full(len(batch), 0.5)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(1 + len(more))), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", *more, "score", "predicted"])
 
-    out = x.mapInArrow(run, "doc_id long, score double, predicted int")
-    return out.select("doc_id", F.coalesce(fold_of("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+    out = x.mapInArrow(run, ", ".join(["doc_id long", *(f"{c} long" for c in more), "score double, predicted int"]))
+    return out.select("doc_id", *more, F.coalesce(fold_of("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
