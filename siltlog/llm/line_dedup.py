@@ -1,7 +1,9 @@
 """Operator 8, native: line-level deduplication by content-defined chunks.
 
 A polynomial rolling hash over the hashes of the last three lines decides where a chunk ends, so that boundaries move with
-the lines when text is inserted before them. A chunk of two lines or more that occurs again, in any document, is removed;
+the lines when text is inserted before them. In a run of equal lines that hash stands still and ends
+no chunk. Chunks of more than `longest` + 1 lines are cut from their start into pieces of `longest`, so that a long run's
+pieces are equal wherever it stands. A chunk of two lines or more that occurs again, in any document, is removed;
 its first occurrence (smallest doc_id, then line) stays. Chunks are found by hash and compared byte for byte before
 anything is removed.
 
@@ -24,7 +26,7 @@ from .common import written
 PRIME, BASE = (1 << 31) - 1, 1_103_515_245 % ((1 << 31) - 1)
 
 
-def with_chunks(documents: DataFrame, divisor: int = 4, window: int = 3) -> DataFrame:
+def with_chunks(documents: DataFrame, divisor: int = 4, window: int = 3, longest: int = 8) -> DataFrame:
     """doc_id, lines, chunks: array of struct(start, n) that covers all lines."""
     out = documents.select("doc_id", F.split("text", "\n", -1).alias("lines"))
     out = out.withColumn("_h", F.transform("lines", lambda x: F.pmod(F.xxhash64(x), F.lit(PRIME))))
@@ -35,11 +37,23 @@ def with_chunks(documents: DataFrame, divisor: int = 4, window: int = 3) -> Data
             total = (F.coalesce(F.get("_h", i - j), F.lit(0)) * F.lit(pow(BASE, j, PRIME)) + total) % F.lit(PRIME)
         return total
 
+    def alike(i: Column) -> Column:
+        """The window holds one line `window` times: its hash would end a chunk at every line of a run, or at none."""
+        same = F.lit(True)
+        for j in range(1, window):
+            same = same & F.get("_h", i).eqNullSafe(F.get("_h", i - j))
+        return same
+
     last = F.size("lines") - 1
-    ends = F.when(F.size("lines") > 0, F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: (i == last) | (rolled(i) % F.lit(divisor) == 0)))
+    ends = F.when(F.size("lines") > 0, F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: (i == last) | ((rolled(i) % F.lit(divisor) == 0) & ~alike(i))))
     out = out.withColumn("_ends", ends)
     start = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get("_ends", k - 1) + 1)
-    return out.select("doc_id", "lines", F.transform("_ends", lambda e, k: F.struct(start(k).alias("start"), (e - start(k) + 1).alias("n"))).alias("chunks"))
+    out = out.withColumn("_whole", F.transform("_ends", lambda e, k: F.struct(start(k).alias("start"), (e - start(k) + 1).alias("n"))))
+    # a longer chunk is cut from its start; a single line at its end stays with the piece before
+    pieces = lambda c: F.greatest(F.lit(1), F.ceil((c["n"] - 1) / longest).cast("int"))
+    size = lambda c, j: F.when(j == pieces(c) - 1, c["n"] - j * longest).otherwise(F.lit(longest))
+    cut = lambda c: F.transform(F.sequence(F.lit(0), pieces(c) - 1), lambda j: F.struct((c["start"] + j * longest).alias("start"), size(c, j).alias("n")))
+    return out.select("doc_id", "lines", F.flatten(F.transform("_whole", cut)).alias("chunks"))
 
 
 def repeated_chunks(documents: DataFrame, divisor: int = 4, window: int = 3, min_lines: int = 2) -> DataFrame:

@@ -166,3 +166,12 @@ def test_mixing_default_weights_and_odd_cases(spark, sf):
     odd = mixing.mix_documents(clashing(documents(spark, ODD))).collect()
     assert Counter(r.doc_id for r in odd) == Counter(r[0] for r in ODD) and [r.source for r in odd if r.doc_id == 5] == [None]
     assert mixing.mix_documents(docs.limit(0)).count() == 0
+
+
+def test_runs_of_one_line_are_cut(spark):
+    """Of runs of equal lines, whatever their line and length, about a chunk stays, and no line that stands once goes."""
+    rows = [(i, "\n".join([f"top {i}"] + [f"again {i % 12}"] * (60 + i) + [f"end {i}"])) for i in range(36)]
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
+    assert all(r.n_lines - r.n_removed_lines <= 32 and f"top {i}" in r.kept and r.kept.endswith(f"end {i}") for i, r in out.items())
+    for _, lines, chunks in ((r.doc_id, r.lines, r.chunks) for r in line_dedup.with_chunks(documents(spark, rows)).collect()):
+        assert [i for c in chunks for i in range(c.start, c.start + c.n)] == list(range(len(lines))) and max(c.n for c in chunks) <= 9
