@@ -12,7 +12,7 @@ read twice), and at last the documents.
 A chunk that a third of all documents share is one row for each task after the first aggregation.
 
 Defined cases: a null text stays null and has no lines; an empty text is one empty line; single-line chunks always stay;
-equal rows (same doc_id and text) count as one document. Extra columns are not read.
+equal rows (same doc_id and text) count as one document, two texts under one id as two; a null doc_id is the smallest. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -26,9 +26,9 @@ from .common import written
 PRIME, BASE = (1 << 31) - 1, 1_103_515_245 % ((1 << 31) - 1)
 
 
-def with_chunks(documents: DataFrame, divisor: int = 4, window: int = 3, longest: int = 8) -> DataFrame:
-    """doc_id, lines, chunks: array of struct(start, n) that covers all lines."""
-    out = documents.select("doc_id", F.split("text", "\n", -1).alias("lines"))
+def with_chunks(documents: DataFrame, divisor: int = 4, window: int = 3, longest: int = 8, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of `more`, lines, chunks: array of struct(start, n) that covers all lines."""
+    out = documents.select("doc_id", *more, F.split("text", "\n", -1).alias("lines"))
     out = out.withColumn("_h", F.transform("lines", lambda x: F.pmod(F.xxhash64(x), F.lit(PRIME))))
 
     def rolled(i: Column) -> Column:
@@ -53,26 +53,26 @@ def with_chunks(documents: DataFrame, divisor: int = 4, window: int = 3, longest
     pieces = lambda c: F.greatest(F.lit(1), F.ceil((c["n"] - 1) / longest).cast("int"))
     size = lambda c, j: F.when(j == pieces(c) - 1, c["n"] - j * longest).otherwise(F.lit(longest))
     cut = lambda c: F.transform(F.sequence(F.lit(0), pieces(c) - 1), lambda j: F.struct((c["start"] + j * longest).alias("start"), size(c, j).alias("n")))
-    return out.select("doc_id", "lines", F.flatten(F.transform("_whole", cut)).alias("chunks"))
+    return out.select("doc_id", *more, "lines", F.flatten(F.transform("_whole", cut)).alias("chunks"))
 
 
 def repeated_chunks(documents: DataFrame, divisor: int = 4, window: int = 3, min_lines: int = 2) -> DataFrame:
-    """(doc_id, start, n): the chunks to remove."""
+    """(_doc, start, n): the chunks to remove; documents has `_doc`, a key of doc_id and text."""
     many = F.filter("chunks", lambda c: c["n"] >= min_lines)
     texts = F.transform(many, lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), F.array_join(F.slice("lines", c["start"] + 1, c["n"]), "\n").alias("chunk")))
-    each = with_chunks(documents, divisor, window).select("doc_id", F.inline(texts)).withColumn("key", F.xxhash64("chunk"))
+    each = with_chunks(documents, divisor, window, more=("_doc",)).select("doc_id", "_doc", F.inline(texts)).withColumn("key", F.xxhash64("chunk"))
     hot = each.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
     suspects = written(each.join(hot, "key"), "suspects")
-    firsts = suspects.groupBy("key", "chunk").agg(F.min(F.struct("doc_id", "start")).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    at = F.struct("doc_id", "start")
-    return suspects.join(firsts.select("key", "chunk", "_first"), ["key", "chunk"]).where(at != F.col("_first")).select("doc_id", "start", "n")
+    at = F.struct("doc_id", "_doc", "start")
+    firsts = suspects.groupBy("key", "chunk").agg(F.min(at).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return suspects.join(firsts.select("key", "chunk", "_first"), ["key", "chunk"]).where(~at.eqNullSafe(F.col("_first"))).select("_doc", "start", "n")
 
 
 def dedup_lines(documents: DataFrame, divisor: int = 4, window: int = 3, min_lines: int = 2) -> DataFrame:
     """doc_id, kept (text), n_lines, n_removed_lines, n_removed_chunks for each document."""
-    docs = documents.select("doc_id", "text")
-    gone = repeated_chunks(docs, divisor, window, min_lines).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("_gone"))
-    out = docs.join(gone, "doc_id", "left").withColumn("_lines", F.split("text", "\n", -1))
+    docs = documents.select("doc_id", "text", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("_doc"))
+    gone = repeated_chunks(docs, divisor, window, min_lines).distinct().groupBy("_doc").agg(F.collect_list(F.struct("start", "n")).alias("_gone"))
+    out = docs.join(gone, "_doc", "left").withColumn("_lines", F.split("text", "\n", -1))
     cuts = F.concat(F.array_sort("_gone"), F.array(F.struct(F.size("_lines").alias("start"), F.lit(0).alias("n"))))
     out = out.withColumn("_cuts", F.when(F.col("_gone").isNotNull(), cuts))
     after = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get("_cuts", k - 1)["start"] + F.get("_cuts", k - 1)["n"])

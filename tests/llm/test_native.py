@@ -175,3 +175,11 @@ def test_runs_of_one_line_are_cut(spark):
     assert all(r.n_lines - r.n_removed_lines <= 32 and f"top {i}" in r.kept and r.kept.endswith(f"end {i}") for i, r in out.items())
     for _, lines, chunks in ((r.doc_id, r.lines, r.chunks) for r in line_dedup.with_chunks(documents(spark, rows)).collect()):
         assert [i for c in chunks for i in range(c.start, c.start + c.n)] == list(range(len(lines))) and max(c.n for c in chunks) <= 9
+
+
+def test_lines_of_rows_without_id_and_texts_that_share_one(spark):
+    block = "\n".join(f"shared {i}" for i in range(40))
+    rows = [(None, f"a\n{block}\nb"), (None, f"c\n{block}\nd"), (4, f"e\n{block}\nf"), (4, "\n".join(f"own {i}" for i in range(50)))]
+    out = {r.kept[0] if r.kept[0] != "o" else "own": r for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
+    assert out["own"].kept == rows[3][1] and out["own"].n_removed_lines == 0
+    assert sorted(out[k].n_removed_lines > 20 for k in "ace") == [False, True, True] and out["e"].n_removed_lines > 20
