@@ -43,11 +43,35 @@ def render_flags(flags: Column) -> Column:
 
 
 def validity(data_size: Column, disk: Column, position: Column, end: Column, flags: Column) -> Column:
-    """ok, hole, short, outside or footer: why a header can or can't be right."""
+    """ok, hole, short, outside or footer: why a header can or can't be right. Holes are tolerated by scans.
+
+    A record with checksums needs room for its data and one hash for each MiB, or for the older footer.
+    """
+    chunks = (F.floor((data_size - 1) / F.lit(CHUNK)) + 1) * 8
+    needed = F.when(flags.bitwiseAND(F.lit(CHUNKED_CSUM)) == 0, 72).when(data_size == 0, 0).otherwise(chunks)
     return (
         F.when((data_size == 0) & (disk == 0), "hole")
         .when(disk < data_size + HEADER, "short")
         .when(position + disk > end, "outside")
-        .when((flags.bitwiseAND(F.lit(NOCSUM)) == 0) & (disk < disk_size(data_size)), "footer")
+        .when((flags.bitwiseAND(F.lit(NOCSUM)) == 0) & (disk < data_size + needed), "footer")
         .otherwise("ok")
     )
+
+
+def render_header(key: Column, flags: Column, data_size: Column, disk: Column, position: Column) -> Column:
+    """One line that shows a header."""
+    return F.concat(hex_of(key), F.lit(": data_size: "), data_size.cast("string"), F.lit(", disk_size: "), disk.cast("string"), F.lit(", position: "), position.cast("string"), F.lit(", flags: "), render_flags(flags))
+
+
+def raw_write_error(offset: Column, size: Column, reserve: Column) -> Column:
+    """Null, or ERANGE for a piece that does not fit the reserve."""
+    return F.when((offset < 0) | (offset + size > reserve), "ERANGE")
+
+
+def iovec_bounds(pieces: Column) -> Column:
+    """pieces: array of struct(offset, size). Struct of start, end, contiguous and error (E2BIG unless there are 1 to 128)."""
+    ends = F.transform(pieces, lambda p: p["offset"] + p["size"])
+    # contiguous: each piece begins where the one before ends
+    linked = F.forall(F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1))), lambda i: (F.size(pieces) < 2) | (F.get(pieces, i)["offset"] == F.get(ends, i - 1)))
+    bad = ~F.size(pieces).between(1, 128)
+    return F.struct(F.array_min(F.transform(pieces, lambda p: p["offset"])).alias("start"), F.array_max(ends).alias("end"), linked.alias("contiguous"), F.when(bad, "E2BIG").alias("error"))

@@ -11,14 +11,19 @@ DECISIONS = ("not_needed", "needed", "can_be_removed", "can_be_merged")
 
 
 def want_defrag(stats: DataFrame, blob_size: int, percent: int = 25) -> DataFrame:
-    """stats: base, total, removed, size, removed_size, index_size. Adds code (null: EINVAL) and decision."""
+    """stats: base, total, removed, size, removed_size, index_size, data_offset (optional: size). Adds code (null: EINVAL) and decision.
+
+    A base without any records but with bytes in its files only seems to be empty, so it is EINVAL and never removable.
+    """
     t, r, z, rz = (F.col(c) for c in ("total", "removed", "size", "removed_size"))
-    last = F.col("base") == F.max("base").over(Window.partitionBy())
+    bytes_ = F.col("data_offset") if "data_offset" in stats.columns else z
+    newest = stats.agg(F.max("base")).first()[0]  # one number
     code = (
-        F.when(last, 0)
-        .when((r > t) | (rz > z), F.lit(None))
+        F.when(F.col("base") == F.lit(newest), 0)
+        .when((t == 0) & (r == 0) & ((bytes_ != 0) | (F.col("index_size") != 0)), F.lit(None))
+        .when((r > t) | (rz > z) | (z < 0), F.lit(None))
         .when(t == r, F.when(F.col("index_size") == t * HEADER, 2).otherwise(1))
-        .when(rz >= F.floor(z * F.lit(percent) / 100), 1)
+        .when(rz >= F.expr(f"size * {percent}L div 100"), 1)
         .when(z - rz < F.lit(blob_size // 10), 3)
         .otherwise(0)
     )
@@ -26,6 +31,48 @@ def want_defrag(stats: DataFrame, blob_size: int, percent: int = 25) -> DataFram
     return stats.withColumn("code", code.cast("int")).withColumn("decision", F.coalesce(names[F.col("code")], F.lit("EINVAL")))
 
 
+LEVELS = ("data_sort", "index_sort", "compact")
+
+
+def defrag_plan(decided: DataFrame, size_limit: int, records_limit: int, level: str = "data_sort") -> DataFrame:
+    """What a run of a level does with each base of `want_defrag` (with is_sorted): base, action (remove, sort, skip), grp.
+
+    The last base is left alone and removable ones go. Of the rest, a compacting run leaves those that need nothing, the others
+    leave them if they are sorted. Neighbours are sorted together as `pack` groups them, a sorted base by itself only if it is
+    needed; a run that only sorts indexes takes each unsorted base by itself.
+    """
+    if level not in LEVELS:
+        raise ValueError(f"a level is one of {LEVELS}")
+    newest = decided.agg(F.max("base")).first()[0]
+    idle = F.coalesce(F.col("code") == 0, F.lit(False)) & (F.lit(level == "compact") | F.col("is_sorted"))
+    first = F.when(F.col("base") == F.lit(newest), "skip").when(F.col("code") == 2, "remove").when(idle | (F.lit(level == "index_sort") & F.col("is_sorted")), "skip").otherwise("sort")
+    judged = decided.withColumn("action", first)
+    todo = judged.where("action = 'sort'")
+    if level == "index_sort":
+        return judged.select("base", "action", F.when(F.col("action") == "sort", F.col("base")).alias("grp"))
+    grouped = pack(todo.select("base", "size", (F.col("total") - F.col("removed")).alias("live")), size_limit, records_limit)
+    alone = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("_n"))
+    out = judged.join(grouped.join(alone, "grp"), "base", "left")
+    idle = (F.col("_n") == 1) & F.col("is_sorted") & ~F.coalesce(F.col("code") == 1, F.lit(False))
+    action = F.when((F.col("action") == "sort") & idle, "skip").otherwise(F.col("action"))
+    return out.select("base", action.alias("action"), F.when(action == "sort", F.col("grp")).alias("grp"))
+
+
+def merged_index_bytes(plan: DataFrame, stats: DataFrame) -> DataFrame:
+    """grp, index_size: the size of the index that sorting each group makes."""
+    live = stats.select("base", (F.col("total") - F.col("removed")).alias("live"))
+    return plan.where("action = 'sort'").join(live, "base").groupBy("grp").agg((F.sum("live") * HEADER).alias("index_size"))
+
+
+def compact_bases(records: DataFrame) -> DataFrame:
+    """Bases that hold removed records, without them: base, key, idx, new_position in the order of idx. Others are left out."""
+    w = Window.partitionBy("base")
+    gone = F.col("flags").bitwiseAND(F.lit(1)) != 0
+    live = records.withColumn("_gone", F.max(gone).over(w)).where(F.col("_gone") & ~gone).drop("_gone")
+    before = w.orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return live.withColumn("new_position", F.sum("disk_size").over(before) - F.col("disk_size"))
+
+
 def pack(candidates: DataFrame, size_limit: int, records_limit: int) -> DataFrame:
     """candidates: base, size, live. Adds grp: consecutive bases together while both limits hold; empty ones always join.
 

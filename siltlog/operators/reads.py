@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import checksum
+from ..functions.records import HEADER, REMOVE, UNCOMMITTED
+
 #: Ranges up to this number become one predicate, which reaches the Parquet scan.
 PREDICATE_RANGES = 64
 
@@ -49,8 +52,9 @@ def merged(ranges: list[tuple]) -> list[tuple]:
 def multi_range(rows: DataFrame, ranges: list[tuple], key: str = "key") -> DataFrame:
     """Rows whose key lies in any inclusive range, each once.
 
-    Few ranges become an OR of BETWEEN that the scan can use. Many are merged, which makes them disjoint: each key then has
-    one possible range, found by binary search in a constant sorted array, without a nested loop.
+    Few ranges become an OR of BETWEEN that the scan can use. More are merged, which makes them disjoint: each key then has one
+    possible range, found by binary search in a constant sorted array, in one pass and without a join. Ranges that are a
+    table are `in_ranges`.
     """
     found = merged(ranges)
     if not found:
@@ -60,9 +64,37 @@ def multi_range(rows: DataFrame, ranges: list[tuple], key: str = "key") -> DataF
         for a, b in found:
             test = test | F.col(key).between(F.lit(a), F.lit(b))
         return rows.where(test)
-    spark = rows.sparkSession
-    table = spark.createDataFrame(found, rows.select(F.col(key).alias("start"), F.col(key).alias("end")).schema)
-    return rows.join(F.broadcast(table), (F.col(key) >= F.col("start")) & (F.col(key) <= F.col("end")), "left_semi")
+    starts, ends = F.array(*[F.lit(a) for a, _ in found]), F.array(*[F.lit(b) for _, b in found])
+    at = _last_start(F.col(key), starts, len(found))
+    return rows.where(F.col(key).between(F.lit(found[0][0]), F.lit(found[-1][1]))).withColumn("_at", at).where((F.col("_at") >= 0) & (F.col(key) <= F.get(ends, F.col("_at")))).drop("_at")
+
+
+def _last_start(value: Column, starts: Column, n: int) -> Column:
+    """Index of the last of n sorted starts that is not greater, -1 without one: a binary search by descending powers of 2."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length()))])
+    return F.aggregate(steps, F.lit(-1), lambda at, s: F.when((at + s < n) & (F.get(starts, at + s) <= value), at + s).otherwise(at))
+
+
+def in_ranges(rows: DataFrame, ranges: DataFrame, key: str = "key", cuts: int = 64) -> DataFrame:
+    """Rows whose key lies in any inclusive range of a table (start, end) of any size, each once; ranges may overlap.
+
+    Keys and ranges are sorted together, in as many parts as `cuts` from a sample of the keys make, and a running maximum of the
+    ends tells whether a range that has begun reaches the key. A range that spans parts begins again in each. The cuts
+    steer only the plan. Null keys and empty ranges match nothing.
+    """
+    keys = rows.select(F.col(key).alias("k")).where(F.col("k").isNotNull())
+    few = [r["k"] for r in keys.sample(0.01, 1).limit(20 * cuts).distinct().orderBy("k").collect()]
+    marks = few[:: max(1, len(few) // cuts)]
+    good = ranges.select("start", "end").where("start <= end")
+    part = lambda c: _last_start(c, F.array(*[F.lit(m) for m in marks]), len(marks)) if marks else F.lit(-1)
+    spread = good.withColumn("_p", F.explode(F.sequence(part(F.col("start")), part(F.col("end")))))
+    opened = spread.select("_p", F.col("start").alias("_k"), F.lit(0).alias("_is_row"), F.col("end").alias("_end"), F.lit(None).alias("_row"))
+    whole = F.struct(*rows.columns)
+    asked = rows.where(F.col(key).isNotNull()).select(part(F.col(key)).alias("_p"), F.col(key).alias("_k"), F.lit(1).alias("_is_row"), F.lit(None).alias("_end"), whole.alias("_row"))
+    kind = asked.schema["_row"].dataType
+    both = opened.withColumn("_row", F.col("_row").cast(kind)).unionByName(asked.withColumn("_end", F.col("_end").cast(good.schema["end"].dataType)))
+    reach = F.max("_end").over(Window.partitionBy("_p").orderBy("_k", "_is_row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return both.withColumn("_reach", reach).where((F.col("_is_row") == 1) & (F.col("_reach") >= F.col("_k"))).select("_row.*")
 
 
 def scan(records: DataFrame, include_removed: bool = False, bases: tuple[int, int] | None = None, unsorted_only: bool = False) -> DataFrame:
@@ -75,9 +107,57 @@ def scan(records: DataFrame, include_removed: bool = False, bases: tuple[int, in
     return out if include_removed else out.where(F.col("flags").bitwiseAND(F.lit(1)) == 0)
 
 
+def scan_verified(records: DataFrame, include_removed: bool = False, no_footer: bool = False) -> DataFrame:
+    """Records without those whose checksum does not hold; removed and uncommitted ones are not verified.
+
+    records: headers with data, chunks and, for records without chunked checksums, csum.
+    """
+    csum = F.col("csum") if "csum" in records.columns else None
+    error = checksum.verify_error(F.col("data"), F.col("disk_size"), F.col("flags"), F.col("chunks"), csum, no_footer=no_footer)
+    unverified = F.col("flags").bitwiseAND(F.lit(REMOVE | UNCOMMITTED)) != 0
+    found = records.withColumn("_error", F.when(~unverified, error)).where("_error is null").drop("_error")
+    return scan(found, include_removed)
+
+
+def locate(records: DataFrame, key, include_uncommitted: bool = True) -> DataFrame:
+    """Where a key's newest live record lies: base, position, data_offset, data_size, disk_size, flags, total_size."""
+    hidden = REMOVE if include_uncommitted else REMOVE | UNCOMMITTED
+    found = records.where((F.col("key") == F.lit(key)) & (F.col("flags").bitwiseAND(F.lit(hidden)) == 0))
+    return locations(found).orderBy(F.col("base").desc(), F.col("idx").desc()).limit(1)
+
+
+def locations(records: DataFrame) -> DataFrame:
+    """The location of each record, as a write returns it."""
+    return records.select("key", "base", "idx", "position", (F.col("position") + HEADER).alias("data_offset"), "data_size", "disk_size", "flags")
+
+
+def lookup_trace(keys: DataFrame, headers: DataFrame, bases: DataFrame) -> DataFrame:
+    """key, loops, no_sort, found: the search for each key, newest base first, in the sorted bases (bases: base, sorted).
+
+    loops counts the bases visited, no_sort those among them that have no sorted index and are passed over.
+    """
+    newest = Window.orderBy(F.col("base").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # one row for each base, far fewer than records
+    order = bases.select("base", "sorted", F.count(F.lit(1)).over(newest).alias("loops"), F.count_if(~F.col("sorted")).over(newest).alias("no_sort"))
+    total = bases.agg(F.count(F.lit(1)).alias("loops"), F.count_if(~F.col("sorted")).alias("no_sort")).first()
+    live = scan(headers).select("key", "base").join(order.where("sorted").select("base"), "base", "left_semi")
+    hit = keys.select("key").distinct().join(live, "key", "left").groupBy("key").agg(F.max("base").alias("base"))
+    out = hit.join(order.drop("sorted"), "base", "left")
+    return out.select("key", F.coalesce("loops", F.lit(total["loops"])).alias("loops"), F.coalesce("no_sort", F.lit(total["no_sort"])).alias("no_sort"), F.col("base").isNotNull().alias("found"))
+
+
 def prefix(rows: DataFrame, start: str, key: str = "key") -> DataFrame:
     return rows.where(F.col(key).startswith(start))
 
 
 def matching(rows: DataFrame, pattern: str, data: str = "data") -> DataFrame:
     return rows.where(F.col(data).rlike(pattern))
+
+
+def compare(expected: DataFrame, actual: DataFrame, key: str = "key") -> DataFrame:
+    """key, verdict (missing, unexpected or different) of the keys whose rows are not the same on both sides; nulls equal nulls."""
+    other = [c for c in expected.columns if c != key]
+    left = expected.select(key, F.struct(*other).alias("_a"))
+    right = actual.select(key, F.struct(*other).alias("_b"))
+    verdict = F.when(F.col("_a").isNull(), "unexpected").when(F.col("_b").isNull(), "missing").when(~F.col("_a").eqNullSafe(F.col("_b")), "different")
+    return left.join(right, key, "full_outer").select(key, verdict.alias("verdict")).where("verdict is not null")

@@ -19,12 +19,11 @@ def event_log(events: DataFrame, machine: bool = False) -> DataFrame:
     if machine:
         op = op.when(kind == "purchase", "commit").when((kind == "signup") & odd, "plain_write").when(kind == "signup", "prepare")
     else:
-        op = op.when(kind == "purchase", "write")
-    offset = F.lit(0) if machine else F.when(kind == "purchase", 4).otherwise(0)
+        op = op.when(kind == "purchase", "write").when(kind == "signup", "append")
+    offset = F.lit(0) if machine else F.when(kind == "purchase", 4).when(kind == "signup", 2).otherwise(0)
     size = F.when(op == "prepare", 1 << 40).otherwise(-1)
     data = F.encode(F.concat("event_type", F.lit(":"), "props"), "UTF-8")
-    out = events.select(F.col("event_id").alias("seq"), F.concat(F.lit("user-"), F.col("user_id")).alias("key"), op.alias("op"), offset.cast("long").alias("offset"), size.cast("long").alias("size"), data.alias("data"), F.lit(0).cast("long").alias("flags"))
-    return out.where("op is not null")
+    return events.select(F.col("event_id").alias("seq"), F.concat(F.lit("user-"), F.col("user_id")).alias("key"), op.alias("op"), offset.cast("long").alias("offset"), size.cast("long").alias("size"), data.alias("data"), F.lit(0).cast("long").alias("flags"))
 
 
 def item_records(lineitem: DataFrame) -> DataFrame:
