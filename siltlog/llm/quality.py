@@ -1,15 +1,17 @@
 """Operator 4: quality classifier, kernel ridge regression by random Fourier features with isotonic calibration.
 
 Statistics of a whole text (lengths, symbols, case, repetition, line shape, compression; see FEATURES) are standardised
-and mapped to `width` random cosine features, whose inner products approximate a Gaussian kernel. Ridge scores come from
+and mapped to `width` random cosine features, whose inner products approximate a Gaussian kernel, and a constant. Ridge scores come from
 the normal equations: each task adds up its own matrices, Spark sums them, and a fixed-size system is solved. The scores
 are calibrated by isotonic regression over a fixed grid of score cells, on labelled rows that the ridge did not see.
 
 All labelled rows of the training folds are used, without a sample. What reaches the driver has a fixed size.
 Labels, lang, source and doc_id are never inputs of a score.
 
-Defined cases: null and empty texts have zero statistics and get a score like any other; without usable labels every score
-is 0.5; several labels of one document are averaged; equal rows give equal results; extra columns are not read.
+Defined cases: null and empty texts have zero statistics and get a score like any other; a very long text is a slice of
+its own and is measured whole; without usable labels every score is 0.5; several labels of one document are averaged, and
+rows that share an id have its label; a row with a null doc_id has no label and is not held out; equal rows give equal
+results; empty tables give no rows; extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -103,7 +105,7 @@ class Model:
 
     def map(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -6, 6)
-        return np.concatenate([np.cos(z @ self.w + self.b) * np.sqrt(2 / len(self.b)), z, np.ones((len(z), 1))], axis=1)
+        return np.concatenate([np.cos(z @ self.w + self.b) * np.sqrt(2 / len(self.b)), np.ones((len(z), 1))], axis=1)
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         return self.map(x) @ self.beta
@@ -129,7 +131,7 @@ def fit(labelled: DataFrame, width: int = 256, gamma: float = 0.02, ridge: float
     n, s, q = (np.array([r[k] for r in sums]) for k in "nsq")
     mean = s / n
     model = Model(mean, np.sqrt(np.maximum(q / n - mean**2, 1e-12)) + 1e-6, width, gamma)
-    size = width + len(mean) + 1
+    size = width + 1
     upper = np.triu_indices(size + 1)
 
     def equations(batches):
