@@ -6,17 +6,17 @@ most similar centroid (cosine) wins. A text whose best cosine is below `reject`
 carries its nearest language, with `accepted` false. A text without any letter is `und`.
 
 Document frequencies are counted over all training texts, as sums per task before the shuffle. Only the k-means sees a
-sample: at most `sample` texts, dealt evenly to the languages and chosen by a hash of doc_id. The model (dimension by
-centroids) is small and fixed in size for a given number of languages.
+sample: about `sample` texts, dealt evenly to the languages but `least` for each, chosen by a hash of doc_id and text; of a
+language with fewer texts than that all are taken, and the text with the smallest hash always is, so no language is left out. The model
+(dimension by centroids) is fixed in size for a given number of languages; more than `most_languages` are refused.
 
-Defined cases: null text or no letter: `und`, score 0; without training rows every text is `und`; equal rows give equal
-results; null doc_id counts as the text "" for its fold; extra columns are not read.
+Defined cases: null text or no letter: `und`, score 0; without training rows every text is `und`; a very long text is a
+slice of its own and counted whole; equal rows give equal results; a row with a null doc_id is not held out; ties go to the
+first language by name; extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -72,9 +72,13 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(training: DataFrame, sample: int = 4000, per_language: int = 4, bits: int = BITS):
+def fit(training: DataFrame, sample: int = 4000, per_language: int = 4, bits: int = BITS, least: int = 64, most_languages: int = 2000):
     """training: doc_id, text, lang (not null). Returns (languages, centroid's language, idf, centroids), or None without rows."""
-    sizes = {r["lang"]: r["n"] for r in training.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    grain = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    sizes = training.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(grain).alias("first")).limit(most_languages + 1).collect()
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages: the model has centroids for each")
+    firsts, sizes = {r["lang"]: r["first"] for r in sizes}, {r["lang"]: r["n"] for r in sizes}
     if not sizes:
         return None
     languages = sorted(sizes)
@@ -93,9 +97,9 @@ def fit(training: DataFrame, sample: int = 4000, per_language: int = 4, bits: in
         df[r["gram"]] = r["n"]
     idf = np.log((1 + sum(sizes.values())) / (1 + df)).astype(np.float32) + 1
 
-    share = max(1, sample // len(languages))
-    grain = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
-    keep = reduce(lambda a, b: a | b, [(F.col("lang") == x) & (grain < F.lit(int(min(1.0, share / sizes[x]) * (1 << 30)))) for x in languages])
+    share = max(least, sample // len(languages))
+    limits = [(x, max(firsts[x], int(min(1.0, share / sizes[x]) * (1 << 30)) - 1)) for x in languages]
+    limits = F.broadcast(training.sparkSession.createDataFrame(limits, "lang string, _limit long"))
 
     def sparse(batches):
         for batch in batches:
@@ -105,7 +109,9 @@ def fit(training: DataFrame, sample: int = 4000, per_language: int = 4, bits: in
                 cols = [batch.column(1).slice(lo, hi - lo), pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())), pa.array([x[a] for x, a in zip(tf, at)], pa.list_(pa.float32()))]
                 yield pa.RecordBatch.from_arrays(cols, names=["lang", "at", "tf"])
 
-    taken = training.where(keep).select("text", "lang").mapInArrow(sparse, "lang string, at array<int>, tf array<float>").toArrow()
+    # of rows with one id and text, one: copies without an id could otherwise fill the sample
+    own = training.withColumn("_grain", grain).join(limits, "lang").where("_grain <= _limit").dropDuplicates(["lang", "_grain"])
+    taken = own.select("text", "lang").mapInArrow(sparse, "lang string, at array<int>, tf array<float>").toArrow()
     of, langs, centres = taken.column("lang").to_pylist(), [], []
     for x in languages:
         rows = [i for i, y in enumerate(of) if y == x]
