@@ -1,14 +1,18 @@
 """Operator 7, native: chat records of several layouts become canonical turns, one template and a loss mask.
 
-A record is JSON. Its nested field paths, without scalar types, are hashed to a fingerprint; the fingerprint selects a
-declarative mapping (LAYOUTS), whose steps build the turns. A record of an unknown layout is kept with its fingerprint,
-`layout` null and no turns.
+A record is JSON. Its nested field paths, without scalar types, are hashed to a fingerprint; those of a layout's fields, without
+the optional ones (OPTIONAL), select a declarative mapping (LAYOUTS), whose steps build the turns. A record of an unknown
+layout is kept with its fingerprint, `layout` null and no turns.
+
+The paths are read from the record's skeleton, in which every string value is empty, so texts of any length that a string of
+Spark can hold are taken whole. A record whose skeleton alone is too long for a variant (some hundred thousand turns) raises an error.
 
 Template: each turn is `<turn ROLE>` newline TEXT `</turn>` newline. Inside roles and texts a backslash is written `\\b`,
 `<` is written `\\l` and (in roles) `>` is written `\\g`, so that no text can hold a control string; reading back undoes it.
 
 Defined cases: null roles and texts are empty; turns come by (turn, role, text), equal rows stay as often as they are; an
-empty table gives no records; a null conv_id is a conversation of its own; extra columns are not read.
+empty table gives no records; a null conv_id is a conversation of its own; the turns of one conversation are one row, whose
+size is that of the conversation; extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -17,13 +21,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TURNS = "array<struct<role:string,text:string>>"
-#: name, field paths (see `paths_of`), SQL that makes TURNS from the variant v.
+#: Scalar fields that a record or message may have besides those of its layout.
+OPTIONAL = ("id", "name", "weight", "source", "lang")
+
+
+def _fields(kind: str) -> str:
+    return f"from_json(record, '{kind}', map('maxStringLen', '2147483647'))"
+
+
+#: name, field paths (see `paths_of`), SQL that makes TURNS from the column `record`.
 LAYOUTS = (
-    ("messages", "OBJECT<messages: ARRAY<OBJECT<content: *, role: *>>>", "transform(variant_get(v, '$.messages', 'array<struct<role:string,content:string>>'), x -> struct(x.role as role, x.content as text))"),
-    ("shared", "OBJECT<conversations: ARRAY<OBJECT<from: *, value: *>>>", "transform(variant_get(v, '$.conversations', 'array<struct<from:string,value:string>>'), x -> struct(case x.from when 'human' then 'user' when 'gpt' then 'assistant' else x.from end as role, x.value as text))"),
-    ("prompt", "OBJECT<completion: *, prompt: *>", "array(struct('user' as role, variant_get(v, '$.prompt', 'string') as text), struct('assistant' as role, variant_get(v, '$.completion', 'string') as text))"),
-    ("instruction", "OBJECT<input: *, instruction: *, output: *>", "array(struct('system' as role, variant_get(v, '$.instruction', 'string') as text), struct('user' as role, variant_get(v, '$.input', 'string') as text), struct('assistant' as role, variant_get(v, '$.output', 'string') as text))"),
+    ("messages", "OBJECT<messages: ARRAY<OBJECT<content: *, role: *>>>", f"transform({_fields('messages array<struct<role:string,content:string>>')}.messages, x -> struct(x.role as role, x.content as text))"),
+    ("shared", "OBJECT<conversations: ARRAY<OBJECT<from: *, value: *>>>", f"transform({_fields('conversations array<struct<`from`:string,value:string>>')}.conversations, x -> struct(case x.from when 'human' then 'user' when 'gpt' then 'assistant' else x.from end as role, x.value as text))"),
+    ("prompt", "OBJECT<completion: *, prompt: *>", f"transform(array({_fields('prompt string, completion string')}), x -> array(struct('user' as role, x.prompt as text), struct('assistant' as role, x.completion as text)))[0]"),
+    ("instruction", "OBJECT<input: *, instruction: *, output: *>", f"transform(array({_fields('instruction string, input string, output string')}), x -> array(struct('system' as role, x.instruction as text), struct('user' as role, x.input as text), struct('assistant' as role, x.output as text)))[0]"),
 )
+#: Characters of a skeleton up to which a null variant means that the record is no JSON.
+SKELETON = 16_000_000
+
+
+def skeleton(record: Column) -> Column:
+    """The record with all its string values empty. Escapes of backslash and quote are written by code point first, so that a quote always ends a string."""
+    coded = F.replace(F.replace(record, F.lit("\\\\"), F.lit("\\u005c")), F.lit('\\"'), F.lit("\\u0022"))
+    pieces = F.regexp_extract_all(coded, F.lit(r'"[^"]*"(?:\s*:)?|[^"]+|"'), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.startswith('"') & p.endswith('"') & (p != '"'), F.lit('""')).otherwise(p)), "")
 
 
 def paths_of(v: Column) -> Column:
@@ -31,15 +52,23 @@ def paths_of(v: Column) -> Column:
     return F.regexp_replace(F.schema_of_variant(v), r"\b(STRING|VOID|BIGINT|DOUBLE|BOOLEAN|DECIMAL\(\d+,\d+\)|DATE|TIMESTAMP|TIMESTAMP_NTZ)\b(?!:)", "*")
 
 
+def needed(paths: Column) -> Column:
+    """The paths without optional scalar fields."""
+    without = F.regexp_replace(paths, rf"(?<=<|, )({'|'.join(OPTIONAL)}): \*(, )?", "")
+    return F.replace(without, F.lit(", >"), F.lit(">"))
+
+
 def canonical(records: DataFrame, record: str = "record") -> DataFrame:
     """Adds fingerprint, layout and turns."""
-    out = records.withColumn("v", F.try_parse_json(F.col(record)))
-    out = out.withColumn("fingerprint", F.sha2(paths_of(F.col("v")), 256))
+    out = records.withColumn("record", F.col(record)).withColumn("_bare", skeleton(F.col("record"))).withColumn("_v", F.try_parse_json("_bare"))
+    lost = F.col("_v").isNull() & (F.length("_bare") > SKELETON) & F.col("_bare").startswith("{") & F.col("_bare").endswith("}")
+    out = out.withColumn("_paths", F.when(lost, F.raise_error(F.lit("a chat record has too many fields to be parsed"))).otherwise(paths_of(F.col("_v"))))
+    out = out.withColumn("fingerprint", F.sha2("_paths", 256)).withColumn("_needed", F.sha2(needed(F.col("_paths")), 256))
     named, made = F.lit(None).cast("string"), F.array().cast(TURNS)
     for name, paths, sql in reversed(LAYOUTS):
-        this = F.col("fingerprint") == F.sha2(F.lit(paths), 256)
+        this = F.col("_needed") == F.sha2(F.lit(paths), 256)
         named, made = F.when(this, F.lit(name)).otherwise(named), F.when(this, F.expr(sql).cast(TURNS)).otherwise(made)
-    return out.withColumn("layout", named).withColumn("turns", made).drop("v")
+    return out.withColumn("layout", named).withColumn("turns", made).drop("_bare", "_v", "_paths", "_needed")
 
 
 def escaped(text: Column, role: bool = False) -> Column:
