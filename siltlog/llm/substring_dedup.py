@@ -14,9 +14,9 @@ Skew: equal segments are reduced to their earliest in each task before the shuff
 Segments of a minimiser with more than `hot` places are routed window by window, by the hash of the window, so that a
 passage that a third of all documents hold is spread, and its equal windows again collapse before the shuffle.
 
-Defined cases: a null text has no words; a document is (doc_id, text): equal rows give the same result and do not repeat
+Defined cases: a null text has no words; a very long text is a slice of its own and its windows are all judged; a document is (doc_id, text): equal rows give the same result and do not repeat
 each other; rows with the same doc_id and another text are ordered by a checksum; a null doc_id comes first; documents
-shorter than a window are kept whole; an empty table gives no rows. Extra columns are not read.
+shorter than a window are kept whole; an empty table gives no rows. Extra columns, whatever their names, are not read.
 Words are compared by the lowest `TOKEN` bytes of a 64-bit hash, over `window` words in a row.
 """
 
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
+from .common import written
 
 TOKEN = 5
 LEAST = -(1 << 63)
@@ -63,10 +64,33 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(first - starts, lengths)
 
 
+class Bits:
+    """A bit vector with a rank directory: one bit for each flag and four bytes for each 64."""
+
+    def __init__(self, flags: np.ndarray):
+        packed = np.packbits(flags, bitorder="little")
+        self.words = np.zeros(len(flags) // 64 + 2, dtype=np.uint64)
+        self.words.view(np.uint8)[: len(packed)] = packed
+        self.ranks = np.zeros(len(self.words) + 1, dtype=np.int32)
+        np.cumsum(np.bitwise_count(self.words), out=self.ranks[1:])
+        self.total = int(self.ranks[-1])
+
+    def rank(self, place: np.ndarray) -> np.ndarray:
+        """Number of set bits before each place."""
+        at = place >> 6
+        below = (np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1)
+        return self.ranks[at].astype(np.int64) + np.bitwise_count(self.words[at] & below)
+
+
 class FmIndex:
-    """Over `text` (ids from 1, 0 between segments), for patterns of up to `window` ids."""
+    """Over `text` (ids from 1, 0 between segments), for patterns of up to `window` ids.
+
+    It keeps the Burrows-Wheeler transform as a wavelet tree of bit vectors, a bit vector that marks where suffixes with the same
+    first `window` ids begin, one for `window` - 1 with the beginnings themselves (four bytes for each group), and the smallest of `keys` (one for each place)
+    in each group of the first kind. The suffix order is only used to build these.
+    """
 
-    def __init__(self, text: np.ndarray, window: int):
+    def __init__(self, text: np.ndarray, window: int, keys: np.ndarray | None = None):
         self.n, self.window = len(text), window
         ranks = {1: np.unique(text, return_inverse=True)[1]}
         size = 1
@@ -74,13 +98,13 @@ class FmIndex:
             ranks[size * 2] = self._joined(ranks[size], ranks[size], size)
             size *= 2
         full, part = self._ranked(ranks, window), self._ranked(ranks, window - 1)
+        del ranks
         sa = np.argsort(full, kind="stable")
-        self.group_of_place = full
-        self.group, self.n_groups = full[sa], int(full.max()) + 1
-        shorter = part[sa]
-        counts = np.bincount(shorter)
-        ends = np.cumsum(counts)
-        self.wider_start, self.wider_end = (ends - counts)[shorter], ends[shorter]
+        begins = lambda group: np.concatenate([[True], group[sa][1:] != group[sa][:-1]])
+        same, wider = begins(full), begins(part)
+        self.groups, self.wider = Bits(same), Bits(wider)
+        self.wider_starts = np.append(np.flatnonzero(wider), self.n).astype(np.int32)
+        self.earliest = None if keys is None else np.minimum.reduceat(keys[sa], np.flatnonzero(same))
         bwt = text[sa - 1]
         self.sigma = int(text.max()) + 1
         counts = np.bincount(text, minlength=self.sigma)
@@ -88,12 +112,8 @@ class FmIndex:
         self.levels = []
         for bit in range(max(1, (self.sigma - 1).bit_length()) - 1, -1, -1):
             one = ((bwt >> bit) & 1).astype(bool)
-            packed = np.packbits(one, bitorder="little")
-            words = np.zeros(self.n // 64 + 2, dtype=np.uint64)
-            words.view(np.uint8)[: len(packed)] = packed
-            ranks_ = np.zeros(len(words) + 1, dtype=np.int64)
-            np.cumsum(np.bitwise_count(words), out=ranks_[1:])
-            self.levels.append((bit, words, ranks_, self.n - int(ranks_[-1])))
+            bits = Bits(one)
+            self.levels.append((bit, bits, self.n - bits.total))
             bwt = np.concatenate([bwt[~one], bwt[one]])
         symbols = np.arange(self.sigma)
         self.node = self._descend(symbols, np.zeros(self.sigma, dtype=np.int64))
@@ -113,12 +133,16 @@ class FmIndex:
         return out
 
     def _descend(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
-        for bit, words, ranks, zeros in self.levels:
-            at = place >> 6
-            ones = ranks[at] + np.bitwise_count(words[at] & ((np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1)))
+        for bit, bits, zeros in self.levels:
+            ones = bits.rank(place)
             place = np.where((symbol >> bit) & 1, zeros + ones, place - ones)
         return place
 
+    def _widened(self, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of the first `window` - 1 ids of the suffixes at lo."""
+        group = self.wider.rank(lo + 1)
+        return self.wider_starts[group - 1].astype(np.int64), self.wider_starts[group].astype(np.int64)
+
     def extend(self, lo: np.ndarray, hi: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of symbol + pattern, given those of the patterns."""
         both = self._descend(np.concatenate([symbol, symbol]), np.concatenate([lo, hi]))
@@ -132,12 +156,12 @@ class FmIndex:
             active = int(np.searchsorted(-lengths, -step, "left"))  # lengths > step
             lo, hi = lo[:active], hi[:active]
             if step >= self.window:  # all matches are `window` long: give up the last word
-                lo, hi = self.wider_start[lo], self.wider_end[lo]
+                lo, hi = self._widened(lo)
             offset = lengths[:active] - 1 - step
             lo, hi = self.extend(lo, hi, text[starts[:active] + offset])
             if step >= self.window - 1:
                 found = hi > lo
-                yield np.flatnonzero(found), offset[found], self.group[lo[found]]
+                yield np.flatnonzero(found), offset[found], self.groups.rank(lo[found] + 1) - 1
 
 
 def shard_masks(tokens: list[np.ndarray], key: np.ndarray, windows: np.ndarray, window: int) -> np.ndarray:
@@ -151,12 +175,12 @@ def shard_masks(tokens: list[np.ndarray], key: np.ndarray, windows: np.ndarray,
     text = np.zeros(int((lengths + 1).sum()), dtype=np.int64)
     flat, offsets = tokens
     text[_ranges(starts, lengths)] = np.unique(flat[_ranges(offsets[order], lengths)], return_inverse=True)[1] + 1
-    index = FmIndex(text, window)
-    earliest = np.full(index.n_groups, np.iinfo(np.int64).max)
-    np.minimum.at(earliest, index.group_of_place[_ranges(starts, windows)], np.repeat(key, windows) + _ranges(np.zeros(len(windows), dtype=np.int64), windows))
+    keys = np.full(len(text), np.iinfo(np.int64).max)
+    keys[_ranges(starts, windows)] = np.repeat(key, windows) + _ranges(np.zeros(len(windows), dtype=np.int64), windows)
+    index = FmIndex(text, window, keys)
     masks = np.zeros(len(lengths), dtype=np.int64)
     for at, offset, group in index.matches(text, starts, lengths):
-        masks[at] |= np.where(earliest[group] < key[at] + offset, _COVER << offset, 0)
+        masks[at] |= np.where(index.earliest[group] < key[at] + offset, _COVER << offset, 0)
     out = np.empty_like(masks)
     out[order] = masks
     return out
@@ -359,7 +383,8 @@ def dedup_passages(documents: DataFrame, window: int = 20, gram: int = 5, hot: i
     """KEPT for each document: every word in a window that also starts earlier is removed."""
     docs = _keyed(documents)
     found = find_segments(docs, window, gram)
-    shared = found.groupBy("m").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("m", (F.col("_n") > hot).alias("hot"))
+    # written, so that both sides of the join come from a shuffle alone and the adaptive plan can split a hot minimiser's partition
+    shared = written(found.groupBy("m").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("m", (F.col("_n") > hot).alias("hot")), "shared")
     suspects = found.join(shared, "m").groupBy("d", "v").agg(F.collect_list(F.struct("pos", "n", "m", "hot")).alias("found"))
     routed = route_segments(docs.join(suspects, ["d", "v"]), window)
     gone = search_shards(routed, window, shard_rows).groupBy("d", "v").agg(F.collect_list(F.struct("pos", "mask")).alias("gone"))
