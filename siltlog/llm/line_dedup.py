@@ -1,7 +1,7 @@
 """Operator 8, native: line-level deduplication by content-defined chunks.
 
 A polynomial rolling hash over the hashes of the last three lines decides where a chunk ends, so that boundaries move with
-the lines when text is inserted before them. In a run of equal lines that hash stands still and ends
+the lines when text is inserted before them (28 bits of MD5 for each line). In a run of equal lines that hash stands still and ends
 no chunk. Chunks of more than `longest` + 1 lines are cut from their start into pieces of `longest`, so that a long run's
 pieces are equal wherever it stands. A chunk of two lines or more that occurs again, in any document, is removed;
 its first occurrence (smallest doc_id, then line) stays. Chunks are found by hash and compared byte for byte before
@@ -9,9 +9,10 @@ anything is removed.
 
 Shuffles: hashes of chunks (aggregated first), all chunks once, those with a repeated hash (written, as they are few and
 read twice), and at last the documents.
-A chunk that a third of all documents share is one row for each task after the first aggregation.
+A chunk that a third of all documents share is one row for each task in the aggregations; its rows in the joins are dealt to
+several tasks by the adaptive plan (skewed joins).
 
-Defined cases: a null text stays null and has no lines; an empty text is one empty line; single-line chunks always stay;
+Defined cases: a very long text is one row and all its lines count; a null text stays null and has no lines; an empty text is one empty line; single-line chunks always stay;
 equal rows (same doc_id and text) count as one document, two texts under one id as two; a null doc_id is the smallest. Extra columns are not read.
 """
 
@@ -26,10 +27,15 @@ from .common import written
 PRIME, BASE = (1 << 31) - 1, 1_103_515_245 % ((1 << 31) - 1)
 
 
+def line_hash(line: Column) -> Column:
+    """28 bits of the line's MD5, so that SQL elsewhere can give the same boundaries."""
+    return F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("long")
+
+
 def with_chunks(documents: DataFrame, divisor: int = 4, window: int = 3, longest: int = 8, more: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns of `more`, lines, chunks: array of struct(start, n) that covers all lines."""
     out = documents.select("doc_id", *more, F.split("text", "\n", -1).alias("lines"))
-    out = out.withColumn("_h", F.transform("lines", lambda x: F.pmod(F.xxhash64(x), F.lit(PRIME))))
+    out = out.withColumn("_h", F.transform("lines", line_hash))
 
     def rolled(i: Column) -> Column:
         total = F.get("_h", i)
@@ -61,11 +67,13 @@ def repeated_chunks(documents: DataFrame, divisor: int = 4, window: int = 3, min
     many = F.filter("chunks", lambda c: c["n"] >= min_lines)
     texts = F.transform(many, lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), F.array_join(F.slice("lines", c["start"] + 1, c["n"]), "\n").alias("chunk")))
     each = with_chunks(documents, divisor, window, more=("_doc",)).select("doc_id", "_doc", F.inline(texts)).withColumn("key", F.xxhash64("chunk"))
-    hot = each.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
+    # the small sides are written, so that both sides of a join come from a shuffle alone and the adaptive plan can split a hot chunk's partition
+    hot = written(each.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key"), "repeated")
     suspects = written(each.join(hot, "key"), "suspects")
     at = F.struct("doc_id", "_doc", "start")
     firsts = suspects.groupBy("key", "chunk").agg(F.min(at).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return suspects.join(firsts.select("key", "chunk", "_first"), ["key", "chunk"]).where(~at.eqNullSafe(F.col("_first"))).select("_doc", "start", "n")
+    firsts = written(firsts.select("key", "chunk", "_first"), "firsts")
+    return suspects.join(firsts, ["key", "chunk"]).where(~at.eqNullSafe(F.col("_first"))).select("_doc", "start", "n")
 
 
 def dedup_lines(documents: DataFrame, divisor: int = 4, window: int = 3, min_lines: int = 2) -> DataFrame:
