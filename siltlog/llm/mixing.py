@@ -98,7 +98,7 @@ def mix(rows: DataFrame, order: list[str], source: str = "source", parts: DataFr
     return placed(at, block_rows).select(*order, F.col("_shown").alias(source), "block", "slot", "position")
 
 
-def placed(at: DataFrame, block_rows: int, span: int = 4096) -> DataFrame:
+def placed(at: DataFrame, block_rows: int, span: int = 1024) -> DataFrame:
     """position: the rank by (slot, place in the block). A slot holds one block, so a span of slots has a bounded number of rows."""
     spans = at.withColumn("_span", F.expr(f"slot div {span}"))
     sizes = spans.groupBy("_span").agg(F.count(F.lit(1)).alias("_n"))
