@@ -49,7 +49,7 @@ def skeleton(record: Column) -> Column:
 
 def paths_of(v: Column) -> Column:
     """The nested field names of a variant; scalars are all `*`."""
-    return F.regexp_replace(F.schema_of_variant(v), r"\b(STRING|VOID|BIGINT|DOUBLE|BOOLEAN|DECIMAL\(\d+,\d+\)|DATE|TIMESTAMP|TIMESTAMP_NTZ)\b(?!:)", "*")
+    return F.regexp_replace(F.schema_of_variant(v), r"\bDECIMAL\(\d+,\d+\)|\b(STRING|VOID|BIGINT|DOUBLE|FLOAT|BOOLEAN|DATE|TIMESTAMP|TIMESTAMP_NTZ)\b(?!:)", "*")
 
 
 def needed(paths: Column) -> Column:
