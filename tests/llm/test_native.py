@@ -1,5 +1,6 @@
 import hashlib
 import json
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -183,3 +184,136 @@ def test_lines_of_rows_without_id_and_texts_that_share_one(spark):
     out = {r.kept[0] if r.kept[0] != "o" else "own": r for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
     assert out["own"].kept == rows[3][1] and out["own"].n_removed_lines == 0
     assert sorted(out[k].n_removed_lines > 20 for k in "ace") == [False, True, True] and out["e"].n_removed_lines > 20
+
+
+# more of sharding, mixing and chat
+
+
+def test_bounds_of_shards_prune(spark):
+    """Few shards that do not hold a value are left by the shards' smallest and largest values."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = sharding.shard_documents(docs)
+    bounds, rows = sharding.bounds_of(out).collect(), out.collect()
+    assert sum(b.n_rows for b in bounds) == len(rows)
+    for c in ("lang", "source"):
+        for v in {r[c] for r in rows if r[c] is not None}:
+            true = {r["shard"] for r in rows if r[c] == v}
+            left = {b["shard"] for b in bounds if b[f"min_{c}"] is not None and b[f"min_{c}"] <= v <= b[f"max_{c}"]}
+            assert true <= left and len(left) <= len(true) + 12, (c, v, len(true), len(left))
+    sizes = sorted(r["size"] for r in rows)
+    low, high = sizes[len(sizes) // 2], sizes[len(sizes) * 6 // 10]
+    left = [b for b in bounds if b.max_size >= low and b.min_size <= high]
+    assert len(left) <= 30
+
+
+@pytest.mark.parametrize("levels", [4, 16])
+def test_levels_keep_the_order(spark, levels):
+    rng = random.Random(levels)
+    rows = spark.createDataFrame([(rng.choice([None, "m", "m", "m", *map(str, range(100))]),) for _ in range(600)], "v string")
+    starts = sharding.level_starts(rows, "v", levels)
+    got = rows.select("v", sharding.ordered_level(F.col("v"), starts).alias("l")).collect()
+    assert {r.l for r in got if r.v is None} == {0}
+    order = [r.l for r in sorted((r for r in got if r.v is not None), key=lambda r: r.v)]
+    assert order == sorted(order) and 0 <= order[0] and order[-1] < levels and len(set(order)) > levels // 2
+    few = spark.createDataFrame([("a",), ("b",), ("c",)], "v string")
+    assert sharding.level_starts(few, "v", 16) == [(5, "b"), (10, "c")] and sharding.level_starts(few.limit(0), "v", 16) == []
+
+
+def test_rows_without_id_in_shards_and_mixing(spark):
+    rows = [(None, "a", None, None), (None, "a", None, None), (None, "b", "en", ""), (-1, "c", "en", None), (7, None, None, "s")]
+    out = sharding.shard_documents(documents(spark, rows)).collect()
+    assert Counter(r.doc_id for r in out) == Counter(r[0] for r in rows)
+    mixed = mixing.mix_documents(documents(spark, rows)).collect()
+    assert Counter((r.doc_id, r.source) for r in mixed) == Counter((r[0], r[3] if len(r) > 3 else "s") for r in rows)
+    assert sorted(r.position for r in mixed) == list(range(5))
+
+
+def earliest_deadline_first(parts):
+    """Slot by slot over all sources: of the released turns the one with the earliest deadline; ties as in `turns`."""
+    cycle, done, out = sum(parts.values()), dict.fromkeys(parts, 0), []
+    for t in range(cycle):
+        ready = [(-(-(done[s] + 1) * cycle // p), -p, s) for s, p in parts.items() if done[s] < p and done[s] * cycle // p <= t]
+        d, p = min((d, p) for d, p, _ in ready)
+        s = max(s for x, y, s in ready if (x, y) == (d, p))
+        out.append((s, done[s]))
+        done[s] += 1
+    return out
+
+
+@pytest.mark.parametrize("parts", [{"a": 5, "b": 3, "c": 2, "d": 1}, {"a": 7, "b": 7, "c": 1, "e": 1, "f": 1}, {"x": 2, "y": 2, "z": 2}, {"one": 4}])
+def test_turns_against_earliest_deadline_first(spark, parts):
+    want = earliest_deadline_first(parts)
+    heavy = spark.createDataFrame([(s, p) for s, p in parts.items() if p > 1], "source string, parts int")
+    got = {r["slot"]: (r["source"], r["turn"]) for r in mixing.turns(heavy, "source", sum(parts.values()))}
+    assert got == {t: x for t, x in enumerate(want) if parts[x[0]] > 1}
+
+
+def test_many_sources(spark):
+    """Thousands of sources of a few rows beside a heavy one: no fold over them, and the heavy one keeps its share."""
+    rows = [(i, "t", "en", "heavy" if i % 3 == 0 else f"host{i % 4000}") for i in range(9000)]
+    out = sorted(mixing.mix_documents(documents(spark, rows), block_rows=2).collect(), key=lambda r: r.position)
+    assert [r.position for r in out] == list(range(9000)) and sorted(r.doc_id for r in out) == list(range(9000))
+    slots = {}
+    for r in out:
+        assert slots.setdefault(r.slot, r.source) == r.source
+    lights = len({r.source for r in out}) - 1
+    by_source = Counter(r.source for r in out)
+    weight = {x: math.ceil(n**0.7 * 1024) for x, n in by_source.items()}
+    p = round(weight["heavy"] * 1000 / sum(weight.values()))
+    cycle, done = p + lights, 0
+    assert lights > 2000 and p > 1 and {s for s in slots if s < cycle} <= set(range(cycle))
+    for t in range(min(cycle, -(-by_source["heavy"] // 2) * cycle // p)):
+        done += slots.get(t) == "heavy"
+        assert abs(done - p * (t + 1) / cycle) < 1
+
+
+def test_very_long_turns_are_kept(spark):
+    n = 24_000_000
+    rows = spark.range(2).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.when(F.col("id") == 0, F.lit("q")).otherwise(F.repeat(F.lit('a"\\<'), n // 4)).alias("text"))
+    r = chat.digests(chat.read_back(chat.formatted(chat.canonical(chat.records_of(rows))))).collect()[0]
+    assert (r.n_turns, r.loss_chars, r.layout) == (2, n, "prompt")
+    assert r.loss_sha256 == hashlib.sha256(('a"\\<' * (n // 4)).encode()).hexdigest()
+
+
+def test_optional_fields_and_odd_records(spark):
+    given = [
+        json.dumps({"id": 7, "messages": [{"role": "user", "content": 'say "x": \\ "y",'}, {"role": "assistant", "content": "ok", "name": "bot", "weight": 1.5}]}),
+        json.dumps({"conversations": [{"from": "human", "value": "a\\\\\"b"}, {"from": "gpt", "value": "", "id": "z"}], "source": "s"}),
+        '{"prompt": "unfinished', '{"prompt": "a"" , "completion": "b"}', "no json", "", '["prompt"]', '{"messages": "text", "role": 1}',
+    ]
+    rows = spark.createDataFrame([(i, g) for i, g in enumerate(given)], "conv_id long, record string")
+    out = {r.conv_id: r for r in chat.read_back(chat.formatted(chat.canonical(rows))).collect()}
+    assert [out[i].layout for i in range(len(given))] == ["messages", "shared", None, None, None, None, None, None]
+    assert [(t.role, t.text) for t in out[0].back] == [("user", 'say "x": \\ "y",'), ("assistant", "ok")]
+    assert [(t.role, t.text) for t in out[1].back] == [("user", 'a\\\\"b'), ("assistant", "")]
+
+
+# boundaries of chunks
+
+
+def brute_chunks(lines, hashes, divisor=4, window=3, longest=8):
+    ends = []
+    for i in range(len(lines)):
+        total = 0
+        for j in range(window):
+            total += (hashes[i - j] if i >= j else 0) * pow(line_dedup.BASE, j, line_dedup.PRIME)
+        alike = i >= window - 1 and len({hashes[i - j] for j in range(window)}) == 1
+        if i == len(lines) - 1 or (total % line_dedup.PRIME % divisor == 0 and not alike):
+            ends.append(i)
+    out, at = [], 0
+    for e in ends:
+        while e + 1 - at > longest + 1:
+            out.append((at, longest))
+            at += longest
+        out.append((at, e + 1 - at))
+        at = e + 1
+    return out
+
+
+def test_chunks_against_brute_force(spark):
+    rng = random.Random(9)
+    texts = ["\n".join(rng.choice(["a", "b", "same", "same", str(rng.random())]) for _ in range(rng.randint(1, 60))) for _ in range(40)] + ["x\n" * 40, ""]
+    docs = documents(spark, list(enumerate(texts)))
+    for r in line_dedup.with_chunks(docs).collect():
+        hashed = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in r.lines]
+        assert [(c.start, c.n) for c in r.chunks] == brute_chunks(r.lines, hashed)

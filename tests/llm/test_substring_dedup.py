@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -13,10 +14,10 @@ from helpers import clashing, documents
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def brute(rows, window=20):
+def brute(rows, window=20, sort=True):
     """rows: (doc_id, text); gives doc_id, number of words, removed words, digest of the kept words."""
     seen, out = set(), []
-    for doc_id, text in sorted(rows, key=lambda r: r[0]):
+    for doc_id, text in sorted(rows, key=lambda r: r[0]) if sort else rows:
         words = WORD.findall(text or "")
         gone = set()
         for i in range(len(words) - window + 1):
@@ -79,3 +80,27 @@ def test_index_counts_like_a_scan():
                 lo, hi = index.extend(lo, hi, np.array([c]))
         want = sum((text[i : i + len(pattern)] == pattern).all() for i in range(len(text) - len(pattern) + 1) if len(text[i : i + len(pattern)]) == len(pattern))
         assert max(0, hi[0] - lo[0]) == want
+
+
+def test_rows_without_id_and_texts_that_share_one(spark):
+    rng = random.Random(7)
+    words = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    shared = words(40)
+    rows = [(None, f"{words(5)} {shared}"), (None, f"{shared} {words(6)}"), (None, None), (4, f"{words(3)} {shared} {words(3)}"), (4, words(60)), (4, f"{shared}"), (9, shared)]
+    order = lambda r: (r[0] is not None, r[0] or 0, zlib.crc32((r[1] or "").encode()))
+    want = brute(sorted(rows, key=order), sort=False)
+    assert Counter(result_rows(documents(spark, rows))) == Counter(want) and sum(r[2] for r in want) == 40 * 4
+
+
+def result_rows(df):
+    return [tuple(r) for r in sd.digests(sd.dedup_passages(df)).collect()]
+
+
+def test_hot_passage(spark):
+    """A third of the documents hold one passage, many of them whole copies of each other."""
+    rng = random.Random(3)
+    words = lambda n: " ".join(f"w{rng.randrange(9000)}" for _ in range(n))
+    passage, copy = words(35), words(120)
+    rows = [(i, copy if i % 6 == 0 else f"{words(8)} {passage} {words(8)}" if i % 3 == 0 else words(40)) for i in range(600)]
+    want = brute(rows)
+    assert result(documents(spark, rows), hot=50) == want and sum(r[2] > 0 for r in want) == 198

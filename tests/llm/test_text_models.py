@@ -127,3 +127,142 @@ def test_quality_odd_cases(spark):
 def test_isotonic_is_monotone_and_keeps_the_mean(y):
     out = quality.isotonic(np.array(y, dtype=float), np.ones(len(y)))
     assert all(a <= b + 1e-12 for a, b in zip(out, out[1:])) and np.isclose(out.sum(), sum(y))
+
+
+def test_every_language_is_learnt(spark):
+    """One text of each of two rare languages, and many copies without an id, which are sampled once."""
+    rows = [(4 * i, f"alpha beta gamma {i} delta epsilon", "aa") for i in range(300)] + [(None, "same words in all the copies", "bb")] * 200
+    rows += [(next(i for i in range(5000, 9999) if zlib.crc32(str(i).encode()) % 4 != 2), "zzyx qqvk wwjx", "cc"), (next(i for i in range(20000, 29999) if zlib.crc32(str(i).encode()) % 4 != 2), "ñandú übergröße", "dd")]
+    docs = documents(spark, [(*r, "s") for r in rows])
+    out = langid.identify(docs, sample=8, least=2).collect()
+    assert {r.lang_pred for r in out} == {"aa", "bb", "cc", "dd"} and len(out) == len(rows)
+    with pytest.raises(ValueError):
+        langid.identify(docs, most_languages=3)
+
+
+def brute_bands(texts, chunk, least=100):
+    """Median and third quartile of each class of lengths, from lists of all ratios."""
+    import zstandard
+
+    packer = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
+    seen = {}
+    for t in {t for t in texts if t}:
+        raw = t.encode()
+        kind = int(np.floor(4 * np.log2(len(raw)) + 1e-9))
+        seen.setdefault(kind, []).append(min(1999, int(len(packer.compress(raw)) / len(raw) * 1000)))
+        full = [raw[i : i + chunk] for i in range(0, len(raw) - chunk + 1, chunk)] if len(raw) > chunk else []
+        if full:
+            mean = np.mean([np.float32(len(packer.compress(x)) / chunk) for x in full])
+            seen.setdefault(int(4 * np.log2(chunk) + 1e-9), []).append(min(1999, int(mean * 1000)))
+
+    def limits(n):
+        kind, around = int(np.floor(4 * np.log2(n) + 1e-9)), 0
+        while sum(len(seen.get(k, ())) for k in range(kind - around, kind + around + 1)) < least:
+            around += 1
+        own = sorted(x for k in range(kind - around, kind + around + 1) for x in seen.get(k, ()))
+        m, q = ((own[max(0, int(np.ceil(f * len(own))) - 1)] + 0.5) / 1000 for f in (0.5, 0.75))
+        return m - 0.02 - 6 / n - 3.5 * (q - m), m + 0.02 + 6 / n + 7 * (q - m)
+
+    return packer, limits
+
+
+def test_bands_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    packer, limits = brute_bands(texts.values(), 4096)
+    out = compression_rules.rate(docs).collect()
+    near = 0
+    for r in out:
+        raw = (texts[r.doc_id] or "").encode()
+        if r.base_failed or not raw:
+            assert not r.kept
+            continue
+        parts = [raw] if len(raw) <= 4096 else [raw[i : i + 4096] for i in range(0, len(raw), 4096)]
+        size = lambda x: len(packer.compress(x)) / len(x)
+        margins, bad = [], 0
+        for x in [raw, *parts]:
+            low, high = limits(len(x))
+            margins.append(min(abs(size(x) - low), abs(size(x) - high)))
+        bad = sum(len(x) for x in parts if not limits(len(x))[0] <= size(x) <= limits(len(x))[1])
+        low, high = limits(len(raw))
+        want = low <= size(raw) <= high and 2 * bad <= len(raw)
+        if min(margins) < 0.002:  # a mean of floats may fall into the next thousandth
+            near += 1
+        else:
+            assert r.kept == want, r
+    assert near < 0.05 * len(out) and sum(not r.kept and not r.base_failed for r in out) > 5
+
+
+def test_bands_act_on_junk_and_keep_clean_texts(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    told = compression_rules.rate(docs).where("not base_failed").join(labels, "doc_id").collect()
+    good, bad = [r.kept for r in told if r.quality == 1], [r.kept for r in told if r.quality == 0]
+    assert np.mean(good) >= 0.99 and np.mean(bad) <= 0.7, (np.mean(good), np.mean(bad))
+
+
+def test_copies_do_not_move_the_bands(spark):
+    """A text that half of all rows hold counts once."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    before = {r.doc_id: r.kept for r in compression_rules.rate(docs).collect()}
+    one = docs.where("doc_id = 5").select("text", "lang", "source")
+    copies = spark.range(1_000_000, 1_001_000).withColumnRenamed("id", "doc_id").crossJoin(one)
+    after = compression_rules.rate(docs.select("doc_id", "text").unionByName(copies.select("doc_id", "text"))).collect()
+    assert {r.doc_id: r.kept for r in after if r.doc_id < 1_000_000} == before and len(after) == 2000
+
+
+def test_rules_of_rows_without_id(spark):
+    got = compression_rules.rate(documents(spark, [(None, "a b"), (None, None), (1, ""), (1, "x y z")])).collect()
+    assert Counter((r.doc_id, r.n_words) for r in got) == Counter([(None, 2), (None, 0), (1, 0), (1, 3)])
+    assert compression_rules.rate(documents(spark, [(1, "a")]).limit(0)).count() == 0
+
+
+def test_ridge_against_the_normal_equations(spark):
+    """The fitted weights and the calibrated levels, from all rows at once with numpy."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 5))
+    y = (x[:, 0] + 0.3 * rng.normal(size=400) > 0).astype(float)
+    part = (np.arange(400) % 4 == 0).astype(int)
+    rows = spark.createDataFrame([(x[i].tolist(), float(y[i]), int(part[i])) for i in range(400)], "x array<double>, y double, part int")
+    model = quality.fit(rows, width=32, gamma=0.1, ridge=0.5, cells=50)
+    a = x[part == 0]
+    mean, scale = a.mean(axis=0), a.std(axis=0) + 1e-6
+    z = np.clip((a - mean) / scale, -6, 6)
+    phi = np.concatenate([np.cos(z @ model.w + model.b) * np.sqrt(2 / 32), np.ones((len(z), 1))], axis=1)
+    beta = np.linalg.solve(phi.T @ phi + 0.5 * np.eye(33), phi.T @ y[part == 0])
+    assert np.allclose(beta, model.beta, atol=1e-6) and len(model.beta) == 33
+    # inner products of the features approach the Gaussian kernel
+    wide = quality.Model(np.zeros(5), np.ones(5), 20000, 0.1)
+    f = wide.map(x[:20])[:, :-1]
+    assert np.allclose(f @ f.T, np.exp(-0.1 * ((x[:20, None] - x[None, :20]) ** 2).sum(axis=2)), atol=0.05)
+    raw = model.raw(x[part == 1])
+    cell = np.clip((raw + 0.5) / 2 * 50, 0, 49).astype(int)
+    level = [y[part == 1][cell == c].mean() for c in sorted(set(cell.tolist()))]
+    weight = [(cell == c).sum() for c in sorted(set(cell.tolist()))]
+    assert np.allclose(model.level, quality.isotonic(np.array(level), np.array(weight, dtype=float)))
+
+
+def test_cosines_against_brute_force(spark, sf):
+    """Cosines of a few texts to all centroids, one by one."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
+    training = docs.where(~held & F.col("lang").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang")
+    languages, langs, idf, centres = langid.fit(training)
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    for r in docs.orderBy("doc_id").limit(40).collect():
+        folded = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in (r.text or "").encode())
+        tf = Counter(folded[i : i + 3] for i in range(len(folded) - 2) if folded[i : i + 2] != b"  " and folded[i + 1 : i + 3] != b"  ")
+        v = np.zeros(1 << langid.BITS)
+        for gram, n in tf.items():
+            v[(int.from_bytes(gram, "big") * 2654435761 % (1 << 32)) >> (32 - langid.BITS)] += n
+        v = np.log1p(v) * idf
+        near = centres @ (v / max(np.linalg.norm(v), 1e-9))
+        if got[r.doc_id].lang_pred != "und":
+            assert abs(near.max() - got[r.doc_id].cosine) < 1e-4 and langs[int(near.argmax())] == got[r.doc_id].lang_pred
+
+
+def test_rows_without_id_in_the_models(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    odd = docs.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")))
+    for out in (quality.classify(odd, labels), langid.identify(odd)):
+        rows = out.collect()
+        assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in odd.collect()) and not any(r.held_out for r in rows if r.doc_id is None)
