@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 BLOCK = 40
 
 
-def global_number(rows: DataFrame, bucket: Column, order: list[str], out: str) -> DataFrame:
+def global_number(rows: DataFrame, bucket: Column, order: list[str], out: str, wide: int = 4096) -> DataFrame:
     """Adds a gapless number from 0 in `order`, without one task for all rows.
 
     bucket: a whole number that rises with the order and splits the rows; a bucket is numbered in its own task and moved up
-    by the sizes of the buckets before it. The table of buckets is joined by hash, not broadcast.
+    by the sizes of the buckets before it, which are summed in two levels of `wide` buckets. The table of buckets is joined by hash, not broadcast.
     """
     cut = rows.withColumn("_b", bucket)
-    sizes = cut.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    sizes = cut.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_w", F.floor(F.col("_b") / wide))
+    to_here = Window.rowsBetween(Window.unboundedPreceding, -1)
+    tops = sizes.groupBy("_w").agg(F.sum("_n").alias("_m")).select("_w", F.coalesce(F.sum("_m").over(to_here.orderBy("_w")), F.lit(0)).alias("_top"))
+    inner = sizes.select("_w", "_b", F.coalesce(F.sum("_n").over(to_here.partitionBy("_w").orderBy("_b")), F.lit(0)).alias("_low"))
+    before = inner.join(tops, "_w").select("_b", (F.col("_top") + F.col("_low")).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_b").orderBy(*order)) - 1
     return cut.withColumn("_own", own).join(before, "_b").withColumn(out, F.col("_own") + F.col("_before")).drop("_b", "_own", "_before")
 
