@@ -52,6 +52,11 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver's JVM collect plans of finished jobs now, upon which Spark deletes their shuffle files."""
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def fold_of(doc_id: Column | str, n: int) -> Column:
     """crc32(doc_id as text) mod n."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")), F.lit(n)).cast("int")
