@@ -11,6 +11,7 @@ from .functions import bloom, checksum
 from .functions import records as fr
 from .operators import headers, maintain, reads, segments, state, stats
 from .plans.store import Store
+from .sources import segment_file
 from .sources.adapters import event_log, item_records, table
 from .streaming import fold as streaming
 
@@ -377,6 +378,25 @@ def scan_verified(spark, sf):
     return reads.scan_verified(_stored(spark, sf)).select("doc_id")
 
 
+@query(f"with {STORED} select doc_id, case when e is null then least(10, n - 3) end as size, e as error from (select doc_id, n, coalesce(error, case when n <= 3 then 'E2BIG' end) as e from sd where doc_id % 13 <> 0 and doc_id % 17 <> 0)")
+def read_checked(spark, sf):
+    return reads.read_checked(_stored(spark, sf), 3, 10).select("doc_id", F.length("part").cast("long").alias("size"), "error")
+
+
+SEGMENTS = """sg as (select c_custkey // 400 as base, row_number() over (partition by c_custkey // 400 order by c_custkey) - 1 as idx, sha256(c_name) as h, c_name as data, strlen(c_name) as data_size, strlen(c_name) + 96 + 16 as disk_size from customer)"""
+
+
+@query(f"with {SEGMENTS} select base, idx, h as key_hex, data, data_size, disk_size, (sum(disk_size) over (partition by base order by idx) - disk_size)::bigint as position, 'ok' as validity from sg")
+def segment_files(spark, sf):
+    """Customers written as segment files and read back by their indexes."""
+    path = f"{streaming.shared_path(spark)}/segments"
+    order = Window.partitionBy("base").orderBy("c_custkey")
+    rows = table(spark, sf, "customer").withColumn("base", F.expr("c_custkey div 400"))
+    rows = rows.select("base", (F.row_number().over(order) - 1).cast("long").alias("idx"), F.unhex(F.sha2("c_name", 256)).alias("key"), F.encode("c_name", "UTF-8").alias("data"), F.lit(0).cast("long").alias("flags"))
+    segment_file.write_segments(rows, path)
+    return segment_file.read_records(spark, path).select("base", "idx", F.lower(F.hex(F.substring("key", 1, 32))).alias("key_hex"), F.decode("data", "UTF-8").alias("data"), "data_size", "disk_size", "position", "validity")
+
+
 # headers of index and data files
 
 PAIRS = RECORDS + """, ix as (select *, (sum(disk_size) over (partition by base order by idx) - disk_size)::bigint as position, (sum(disk_size) over (partition by base))::bigint as whole from rec),
@@ -573,6 +593,16 @@ def merged_index_size(spark, sf):
     return maintain.merged_index_bytes(plan, decided)
 
 
+RUN = PLAN + """, ap as (select dp.base, action, case when action = 'sort' then min(dp.base) over (partition by action, case when action = 'sort' then grp end) else dp.base end as target from dp),
+  rp as (select *, (sum(disk_size) over (partition by base order by idx) - disk_size)::bigint as position from rec),
+  lv as (select ap.target, ap.action, rp.* from rp join ap on ap.base = rp.base where action <> 'remove' and (action <> 'sort' or flags & 1 = 0))"""
+
+
+@query(f"with recursive {RUN} select target as base, base as from_base, key, idx, position, false as is_new from lv where action = 'skip' union all select target, base, key, row_number() over (partition by target order by key, base, idx) - 1, (sum(disk_size) over (partition by target order by key, base, idx) - disk_size)::bigint, true from lv where action = 'sort'")
+def defrag_run(spark, sf):
+    return maintain.apply_plan(segments.positions(_records(spark, sf)), _plan(spark, sf)[1]).select("base", "from_base", "key", "idx", "position", "is_new")
+
+
 @query(f"with {RECORDS} select base, key, idx, (sum(disk_size) over (partition by base order by idx) - disk_size)::bigint as new_position from rec where flags & 1 = 0 and base in (select base from rec where flags & 1 <> 0)")
 def compact_bases(spark, sf):
     return maintain.compact_bases(_records(spark, sf)).select("base", "key", "idx", "new_position")
@@ -629,6 +659,11 @@ def stats_text(spark, sf):
     return stats.text_sections(_twelve(spark, sf), _nine(spark, sf)).select("part", "line")
 
 
+@query("""select o_orderkey, case when o_orderkey % 60 > 30 then '{"a":1,"error":{"code":110,"message":"cached json is too old","lifetime":' || (o_orderkey % 60) * 1000000 || ',"lifetime_limit":30000000}}' else '{"a":1}' end as json from orders""")
+def stats_staleness(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", stats.with_staleness(F.lit('{"a":1}'), F.col("o_orderkey") % 60).alias("json"))
+
+
 # stream and store
 
 LIVE = f"{MACHINE} select key, v.d as data, length(v.d)::bigint as data_size, v.op as kind from st where v.op <> 'absent'"

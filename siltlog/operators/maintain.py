@@ -58,6 +58,22 @@ def defrag_plan(decided: DataFrame, size_limit: int, records_limit: int, level:
     return out.select("base", action.alias("action"), F.when(action == "sort", F.col("grp")).alias("grp"))
 
 
+def apply_plan(records: DataFrame, plan: DataFrame) -> DataFrame:
+    """The records after a run of `defrag_plan`: base, idx, position as they become, from_base, is_new.
+
+    The live records of a group are sorted by key into its first base; removable bases go, the others stay as they are.
+    """
+    firsts = plan.where("action = 'sort'").groupBy("grp").agg(F.min("base").alias("_to"))
+    todo = plan.join(firsts, "grp", "left").select("base", "action", F.coalesce("_to", "base").alias("_to"))
+    found = records.join(todo, "base").where("action <> 'remove'").withColumnRenamed("base", "from_base").withColumnRenamed("_to", "base").withColumn("is_new", F.col("action") == "sort")
+    stay = found.where("not is_new")
+    live = found.where(F.col("is_new") & (F.col("flags").bitwiseAND(F.lit(1)) == 0))
+    w = Window.partitionBy("base").orderBy("key", "from_base", "idx")
+    here = F.sum("disk_size").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("disk_size")
+    made = live.withColumn("position", here).withColumn("_idx", F.row_number().over(w) - 1).withColumn("idx", F.col("_idx").cast("long")).drop("_idx")
+    return stay.unionByName(made).drop("action")
+
+
 def merged_index_bytes(plan: DataFrame, stats: DataFrame) -> DataFrame:
     """grp, index_size: the size of the index that sorting each group makes."""
     live = stats.select("base", (F.col("total") - F.col("removed")).alias("live"))

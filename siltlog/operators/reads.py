@@ -119,6 +119,18 @@ def scan_verified(records: DataFrame, include_removed: bool = False, no_footer:
     return scan(found, include_removed)
 
 
+def read_checked(records: DataFrame, offset: int = 0, size: int = 0, check: bool = True, no_footer: bool = False) -> DataFrame:
+    """The readable records with `part`, a slice of their data, or `error`: the checksum's (only touched chunks are hashed), else the slice's.
+
+    Removed and uncommitted records are not there for a read.
+    """
+    live = records.where(F.col("flags").bitwiseAND(F.lit(REMOVE | UNCOMMITTED)) == 0)
+    part, late = read_slice(F.col("data"), offset, size)
+    csum = F.col("csum") if "csum" in records.columns else None
+    wrong = checksum.verify_error(F.col("data"), F.col("disk_size"), F.col("flags"), F.col("chunks"), csum, offset, size, no_footer) if check else F.lit(None).cast("string")
+    return live.withColumn("error", F.coalesce(wrong, late)).withColumn("part", F.when(F.col("error").isNull(), part))
+
+
 def locate(records: DataFrame, key, include_uncommitted: bool = True) -> DataFrame:
     """Where a key's newest live record lies: base, position, data_offset, data_size, disk_size, flags, total_size."""
     hidden = REMOVE if include_uncommitted else REMOVE | UNCOMMITTED
