@@ -5,19 +5,21 @@ passage and as many words as the item has on either side, so that a region can h
 
 1. TF-IDF vectors over hashed words. A word counts 1 + log of its places in the passage, and its weight is 1 + log((1 + n) / (1 + df)) / log(1 + n), between 1 and 2, so that a
    passage that many documents hold still weighs as much as the text around it. Frequencies are counted over all documents.
-2. A randomised SVD of passages gives `rank` orthonormal directions. The passage matrix lies in the tasks; each multiplies its
-   own rows, the products are summed by word in a shuffle, one task makes the columns orthonormal, and the summed Gram matrix
-   of the projected passages (rank + 8 squared) picks the singular directions.
+2. A randomised SVD of all passages of all documents and items gives `rank` orthonormal directions. The passage matrix is never
+   stored; each task multiplies its own rows, the products are summed by word in a shuffle, and one task makes the columns
+   orthonormal. The first pass adds rows up at random (a sparse sketch), each later one multiplies by the matrix and its
+   transpose, and the last one's product also gives the singular directions (Nystroem). 24 spare columns make up for having no pass of its own for these.
 3. Candidates are pairs of an item and a region whose latent vectors, both projected and normalised, have a cosine of `near`
    or more. It is worked out only where the pair could pass step 4 at all: if c of an item's L words must be matched, then
    of any L - c + h of them h must be. The rarest are taken, so few regions are left and none that could pass is missed.
 4. A pair counts if the longest common subsequence (LCS) of item and region covers `cover` of the item and `answer` of its last
    quarter, where its answer stands (punctuation and case aside).
 
-The basis is fitted on all passages of the benchmark and on at most `sample` of the corpus, drawn by a hash
-of text and place (a hard bound in rows of at most two blocks of words, whatever the documents' ids and lengths). All
-documents are searched. One basis serves all items; the benchmark is the query set and is searched in blocks of about `items`
-rows, each in one pass, so that what a task holds is bounded. Only counters, sampled passages and found pairs are shuffled.
+Every passage of the corpus counts in the basis, one that is repeated as often as it stands there; all of them together
+weigh as much as MASS rows of norm 1 and an item's passages 16 each, so that a large corpus leaves directions to the items.
+Only a caller that gives `sample` has a basis of a bounded draw instead; the queries do not. All documents are searched. One basis serves all items; the benchmark is the query set and is searched in blocks of about `items`
+rows, each in one pass, so that what a task holds is bounded. Only counters, found pairs and the products (13 MB for each
+SPAN passages and pass) are shuffled.
 
 Defined cases: null and empty texts and items match nothing; a very long text is one slice and is searched whole; equal rows
 of documents give equal pairs once; items with equal texts are found separately; a null doc_id or item_id is kept as null;
@@ -28,13 +30,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import written
+from .common import release, written
 
 BITS = 14
+#: Rows of norm 1 that all passages of the corpus together weigh as much as; passages of the corpus that one product is made of.
+MASS, SPAN = 2000, 200_000
 SCHEMA = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double, first_word long"
 _DROP = bytes(c for c in range(128) if not chr(c).isalnum())
 
@@ -106,28 +111,31 @@ def frequencies(group: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys >> BITS, keys & ((1 << BITS) - 1), (1 + np.log(n)).astype(np.float32)
 
 
+def passage_lists(batches, block: int):
+    """(words, texts, places of the words, lengths) of the passages in batches of texts, of about a million bytes at a time."""
+    for batch in batches:
+        for _, _, data, offsets in tk.slices(batch.column(0), 1 << 20):
+            w = words_of(data, offsets)
+            text, first, end = passages(w, block)
+            if len(text):
+                yield w, text, _ranges(first, end - first), end - first
+
+
 def passage_rows(texts: DataFrame, block: int) -> DataFrame:
     """(h, at): a hash and the hashed words of every passage of a column of texts."""
 
     def run(batches):
-        for batch in batches:
-            for _, _, data, offsets in tk.slices(batch.column(0), 1 << 19):
-                w = words_of(data, offsets)
-                text, first, end = passages(w, block)
-                if not len(text):
-                    continue
-                lengths = end - first
-                at = _ranges(first, lengths)
-                place = at - np.repeat(w.first[text], lengths)
-                h = tk.mix(np.add.reduceat(tk.mix(w.hashes[at] + place.astype(np.uint64)), np.cumsum(lengths) - lengths))
-                lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(lengths)).astype(np.int32), _bucket(w.hashes[at]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), lists], names=["h", "at"])
+        for w, text, at, lengths in passage_lists(batches, block):
+            place = at - np.repeat(w.first[text], lengths)
+            h = tk.mix(np.add.reduceat(tk.mix(w.hashes[at] + place.astype(np.uint64)), np.cumsum(lengths) - lengths))
+            lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(lengths)).astype(np.int32), _bucket(w.hashes[at]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), lists], names=["h", "at"])
 
     return texts.mapInArrow(run, "h long, at array<int>")
 
 
 def fitted_rows(docs: DataFrame, n: int, m: int, questions: DataFrame, block: int, most: int) -> DataFrame:
-    """(weight, at): all passages of the questions and at most `most` of the m passages of the n documents.
+    """(weight, at): all passages of the questions and at most `most` of the m passages of the n documents, for callers that ask for a draw.
 
     Documents and passages are drawn by hashes, so that about twice as many as `most` are left, each once, of which those
     with the smallest hashes are taken.
@@ -141,34 +149,46 @@ def fitted_rows(docs: DataFrame, n: int, m: int, questions: DataFrame, block: in
     return written(taken.unionByName(asked).repartition(8), "passages")
 
 
+def _sums(value: np.ndarray, table: np.ndarray, pick: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sum of value * table[pick] over each group, which begin at `first`; one at a time, so that what is picked stays in the cache."""
+    out = np.empty((len(first), table.shape[1]), dtype=np.float32)
+    for i, (lo, hi) in enumerate(zip(first.tolist(), [*first[1:].tolist(), len(pick)], strict=True)):
+        np.dot(value[lo:hi], table.take(pick[lo:hi], axis=0), out=out[i])
+    return out
+
+
 class _Rows:
-    """The weighted passage matrix of a batch; a row is a passage, scaled to a norm of its weight."""
+    """The weighted matrix of some passages, given by their hashed words and lengths; a row is a passage, scaled to a norm of its weight."""
 
-    def __init__(self, batch: pa.RecordBatch, idf: np.ndarray):
-        lists = batch.column(1)
-        lengths = np.asarray(lists.value_lengths()).astype(np.int64)
-        at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    def __init__(self, at: np.ndarray, lengths: np.ndarray, weight: np.ndarray | float, idf: np.ndarray):
         self.row, self.at, tf = frequencies(np.repeat(np.arange(len(lengths)), lengths), at)
         self.first = np.searchsorted(self.row, np.arange(len(lengths)))  # passages are not empty
-        weight = batch.column(0).to_numpy(zero_copy_only=False)
         self.value = tf * idf[self.at]
         norm = np.sqrt(np.add.reduceat(self.value**2, self.first))
         self.value = (self.value * (weight / norm)[self.row]).astype(np.float32)
 
     def times(self, basis: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(self.value[:, None] * basis[self.at], self.first, axis=0)
+        return _sums(self.value, basis, self.at, self.first)
 
     def back(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(words, sums): the transposed matrix times y, for the words that occur."""
-        order = np.argsort(self.at, kind="stable")
+        order = np.argsort(self.at.astype(np.uint16), kind="stable")
         keys, starts = np.unique(self.at[order], return_index=True)
-        return keys, np.add.reduceat((self.value[:, None] * y[self.row])[order], starts, axis=0)
+        return keys, _sums(self.value[order], y, self.row[order], starts)
 
+    def add_up(self, total: np.ndarray, rng: np.random.Generator) -> None:
+        """Adds each row, with a random sign, to a random column of total."""
+        n, width = len(self.first), total.shape[1]
+        column, sign = rng.integers(0, width, n), rng.choice(np.array([-1, 1], dtype=np.float32), n)
+        np.add.at(total.reshape(-1), self.at * width + column[self.row], self.value * sign[self.row])
 
-def fit_basis(rows: DataFrame, idf: np.ndarray, rank: int, power: int = 1, seed: int = 5) -> np.ndarray:
-    """rows: weight, at. Orthonormal columns (hashed words by directions): the right singular vectors of a randomised SVD."""
-    spark, size, width = rows.sparkSession, len(idf), rank + 8
-    start = lambda: np.random.default_rng(seed).normal(size=(size, width)).astype(np.float32)
+
+def fit_basis(rows: DataFrame, idf: np.ndarray, rank: int, power: int = 1, seed: int = 5, corpus: DataFrame | None = None, weight: float = 1.0, block: int = 20) -> np.ndarray:
+    """Orthonormal columns (hashed words by directions): the right singular vectors of a randomised SVD.
+
+    rows: weight, at. corpus: text, whose passages are rows of this weight besides; it is read in each pass and none of them is stored.
+    """
+    spark, size, width = rows.sparkSession, len(idf), rank + 24
     kept = None
 
     def packed(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
@@ -176,19 +196,35 @@ def fit_basis(rows: DataFrame, idf: np.ndarray, rank: int, power: int = 1, seed:
         return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.ListArray.from_arrays(offsets, np.ascontiguousarray(values, dtype=np.float32).ravel())], names=["b", "v"])
 
     def unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        return batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(len(batch), width)
+        return batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(len(batch), -1)
 
-    def product(batches):
-        basis, total, seen = kept.value if kept else start(), np.zeros((size, width), dtype=np.float32), np.zeros(size, dtype=bool)
+    def of_rows(batches):
         for batch in batches:
-            for lo in range(0, len(batch), 512):
-                m = _Rows(batch.slice(lo, 512), idf)
-                keys, sums = m.back(m.times(basis))
-                total[keys] += sums
-                seen[keys] = True
-        at = np.flatnonzero(seen)
-        for lo in range(0, len(at), 2048):
-            yield packed(at[lo : lo + 2048], total[at[lo : lo + 2048]])
+            for lo in range(0, len(batch), 8192):
+                part = batch.slice(lo, 8192)
+                lists = part.column(1)
+                yield _Rows(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.asarray(lists.value_lengths()).astype(np.int64), part.column(0).to_numpy(zero_copy_only=False), idf)
+
+    def of_texts(batches):
+        for w, _, at, lengths in passage_lists(batches, block):
+            yield _Rows(_bucket(w.hashes)[at], lengths, weight, idf)
+
+    def product(made):
+        def run(batches):
+            total, seen = np.zeros((size, width), dtype=np.float32), np.zeros(size, dtype=bool)
+            rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+            for m in made(batches):
+                seen[m.at] = True
+                if kept:
+                    keys, sums = m.back(m.times(kept.value))
+                    total[keys] += sums
+                else:
+                    m.add_up(total, rng)
+            at = np.flatnonzero(seen)
+            for lo in range(0, len(at), 2048):
+                yield packed(at[lo : lo + 2048], total[at[lo : lo + 2048]])
+
+        return run
 
     def summed(batches):
         total: dict = {}
@@ -203,34 +239,39 @@ def fit_basis(rows: DataFrame, idf: np.ndarray, rank: int, power: int = 1, seed:
         for batch in batches:
             keys, v = unpacked(batch)
             total[keys] = v
-        q = np.linalg.qr(total)[0]
+        q = directions(kept.value, total, rank) if last else np.linalg.qr(total)[0]
         for lo in range(0, size, 2048):
             yield packed(np.arange(lo, min(size, lo + 2048)), q[lo : lo + 2048])
 
-    def gram(batches):
-        total = np.zeros((width, width))
-        for batch in batches:
-            for lo in range(0, len(batch), 512):
-                y = _Rows(batch.slice(lo, 512), idf).times(kept.value).astype(np.float64)
-                total += y.T @ y
-        yield packed(np.arange(width), total)
-
-    def read(table: DataFrame, n: int) -> np.ndarray:
-        out = np.zeros((n, width), dtype=np.float32)
-        for batch in table.toArrow().to_batches():
-            keys, v = unpacked(batch)
+    def read(table: DataFrame) -> np.ndarray:
+        parts = [unpacked(batch) for batch in table.toArrow().to_batches()]
+        out = np.zeros((size, rank if last else width), dtype=np.float32)
+        for keys, v in parts:
             out[keys] = v
         return out
 
-    for _ in range(1 + power):
-        sums = rows.mapInArrow(product, "b int, v array<float>").repartition("b").mapInArrow(summed, "b int, v array<float>")
-        q = read(written(sums.coalesce(1).mapInArrow(orthonormal, "b int, v array<float>"), "basis"), size)
+    for k in range(1 + power):
+        last = k == power
+        sums = rows.mapInArrow(product(of_rows), "b int, v array<float>")
+        if corpus is not None:
+            sums = sums.unionByName(corpus.mapInArrow(product(of_texts), "b int, v array<float>"))
+        sums = sums.repartition("b").mapInArrow(summed, "b int, v array<float>")
+        q = read(written(sums.repartition(1).mapInArrow(orthonormal, "b int, v array<float>"), "basis"))
         if kept:
             kept.unpersist()
-        kept = spark.sparkContext.broadcast(q)
-    small = read(rows.mapInArrow(gram, "b int, v array<float>").repartition("b").mapInArrow(summed, "b int, v array<float>"), width)
+        if not last:
+            kept = spark.sparkContext.broadcast(q)
+            release(spark)
+    return q
+
+
+def directions(q: np.ndarray, product: np.ndarray, rank: int) -> np.ndarray:
+    """The first eigenvectors of a symmetric matrix without negative eigenvalues, from orthonormal columns and its product with them (Nystroem)."""
+    q, product = q.astype(np.float64), product.astype(np.float64)
+    small = q.T @ product
     values, turn = np.linalg.eigh((small + small.T) / 2)
-    return q @ turn[:, np.argsort(-values)[:rank]].astype(np.float32)
+    root = np.sqrt(np.maximum(values, max(1e-6 * values[-1], 1e-30)))
+    return np.linalg.svd(product @ (turn / root), full_matrices=False)[0][:, :rank].astype(np.float32)
 
 
 def lcs(masks: dict, length: int, words: list) -> int:
@@ -252,13 +293,17 @@ def _masks(words: list) -> dict:
     return out
 
 
-def find_leaks(documents: DataFrame, benchmark: DataFrame, rank: int = 192, block: int = 20, near: float = 0.2, cover: float = 0.7, answer: float = 0.5, sample: int = 2000, items: int = 2000) -> DataFrame:
+def find_leaks(documents: DataFrame, benchmark: DataFrame, rank: int = 192, block: int = 20, near: float = 0.2, cover: float = 0.7, answer: float = 0.5, sample: int | None = None, items: int = 2000) -> DataFrame:
     """Rows of SCHEMA: pairs of a document and an item that it holds."""
     docs = documents.select("doc_id", "text")
     df, n, m = document_frequencies(docs, block)
     idf = weights(df, n)
     questions = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct().withColumn("_p", F.pmod(F.xxhash64("item_id", "text"), F.lit(1 << 30)))
-    basis = fit_basis(fitted_rows(docs, n, m, questions, block, sample), idf, rank)
+    if sample is None:
+        asked = written(passage_rows(questions.select("text"), block).select(F.lit(4.0).alias("weight"), "at"), "passages")
+        basis = fit_basis(asked, idf, rank, corpus=docs.select("text").coalesce(max(8, -(-m // SPAN))), weight=min(1.0, MASS / max(m, 1)) ** 0.5, block=block)
+    else:
+        basis = fit_basis(fitted_rows(docs, n, m, questions, block, sample), idf, rank)
     parts = max(1, -(-questions.count() // items))
     out = None
     for part in range(parts):

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -178,3 +179,24 @@ def test_cosines_of_regions(spark):
         words, n = np.unique(at[start[i] : end[i]], return_counts=True)
         v = ((1 + np.log(n))[:, None] * projected[words]).sum(axis=0)
         assert abs(got[i] - v @ vectors[item[i]] / np.linalg.norm(v)) < 1e-4
+
+
+def test_basis_is_fitted_on_every_passage(spark, monkeypatch):
+    """More passages than were once drawn: each is a row of the decomposed matrix, and all of them weigh as much as MASS."""
+    rng = random.Random(9)
+    texts = [" ".join(f"w{min(rng.randrange(400), rng.randrange(400))}" for _ in range(rng.randint(150, 250))) for _ in range(300)] + ["again " * 60] * 20
+    docs = documents(spark, [(i % 7 or None, t) for i, t in enumerate(texts)]).repartition(6)
+    made, fit = [], dc.fit_basis
+    monkeypatch.setattr(dc, "fit_basis", lambda *a, **more: made.append((a, more, fit(*a, **more))) or made[-1][2])
+    assert dc.find_leaks(docs, spark.createDataFrame([(1, " ".join(texts[0].split()[:40]))], "item_id long, text string"), rank=20).count() >= 1
+    (rows, idf, rank), more, basis = made[0]
+    passages = [r.at for r in dc.passage_rows(docs.select("text"), 20).collect()]
+    assert len(passages) > 2000 and Counter(map(tuple, passages)) == Counter(tuple(r.at) for r in dc.passage_rows(more["corpus"], 20).collect())
+    assert abs(more["weight"] ** 2 * len(passages) - dc.MASS) < 1 and [r.weight for r in rows.collect()] == [4.0]
+    a = np.zeros((len(passages) + 1, 1 << dc.BITS), dtype=np.float32)
+    for i, (at, weight) in enumerate([*((p, more["weight"]) for p in passages), *((r.at, r.weight) for r in rows.collect())]):
+        words, n = np.unique(at, return_counts=True)
+        a[i, words] = (1 + np.log(n)) * idf[words]
+        a[i] *= weight / np.linalg.norm(a[i])
+    exact = np.linalg.svd(a[:, a.any(axis=0)], compute_uv=False)[:rank]
+    assert np.allclose(basis.T @ basis, np.eye(rank), atol=1e-3) and np.linalg.norm(a @ basis) ** 2 >= 0.9 * (exact**2).sum()
