@@ -67,20 +67,22 @@ def repeated_chunks(documents: DataFrame, divisor: int = 4, window: int = 3, min
     many = F.filter("chunks", lambda c: c["n"] >= min_lines)
     texts = F.transform(many, lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), F.array_join(F.slice("lines", c["start"] + 1, c["n"]), "\n").alias("chunk")))
     each = with_chunks(documents, divisor, window, more=("_doc",)).select("doc_id", "_doc", F.inline(texts)).withColumn("key", F.xxhash64("chunk"))
-    # the small sides are written, so that both sides of a join come from a shuffle alone and the adaptive plan can split a hot chunk's partition
+    # the small sides are written and merged whatever their size, so that both sides of a join come from a shuffle alone, the adaptive plan can
+    # split a hot chunk's partition, and small tables are joined as large ones are
     hot = written(each.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key"), "repeated")
-    suspects = written(each.join(hot, "key"), "suspects")
+    suspects = written(each.join(hot.hint("merge"), "key"), "suspects")
     at = F.struct("doc_id", "_doc", "start")
     firsts = suspects.groupBy("key", "chunk").agg(F.min(at).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     firsts = written(firsts.select("key", "chunk", "_first"), "firsts")
-    return suspects.join(firsts, ["key", "chunk"]).where(~at.eqNullSafe(F.col("_first"))).select("_doc", "start", "n")
+    return suspects.join(firsts.hint("merge"), ["key", "chunk"]).where(~at.eqNullSafe(F.col("_first"))).select("_doc", "start", "n")
 
 
 def dedup_lines(documents: DataFrame, divisor: int = 4, window: int = 3, min_lines: int = 2) -> DataFrame:
     """doc_id, kept (text), n_lines, n_removed_lines, n_removed_chunks for each document."""
     docs = documents.select("doc_id", "text", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("_doc"))
     gone = repeated_chunks(docs, divisor, window, min_lines).distinct().groupBy("_doc").agg(F.collect_list(F.struct("start", "n")).alias("_gone"))
-    out = docs.join(gone, "_doc", "left").withColumn("_lines", F.split("text", "\n", -1))
+    # merged whatever its size, so that small tables are joined as large ones are
+    out = docs.join(gone.hint("merge"), "_doc", "left").withColumn("_lines", F.split("text", "\n", -1))
     cuts = F.concat(F.array_sort("_gone"), F.array(F.struct(F.size("_lines").alias("start"), F.lit(0).alias("n"))))
     out = out.withColumn("_cuts", F.when(F.col("_gone").isNotNull(), cuts))
     after = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get("_cuts", k - 1)["start"] + F.get("_cuts", k - 1)["n"])

@@ -317,3 +317,17 @@ def test_chunks_against_brute_force(spark):
     for r in line_dedup.with_chunks(docs).collect():
         hashed = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in r.lines]
         assert [(c.start, c.n) for c in r.chunks] == brute_chunks(r.lines, hashed)
+
+
+def test_lines_of_small_and_large_tables_are_joined_alike(spark, monkeypatch):
+    """Chunks and texts are merged with what is repeated or goes, not joined by a broadcast while that is small."""
+    plans, write = [], line_dedup.written
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(line_dedup, "written", lambda df, name: plans.append(plan(df)) or write(df, name))
+    rows = [(1, "a\nb\nc"), (2, "a\nb\nc"), (3, "x\ny"), (None, None)]
+    out = line_dedup.dedup_lines(documents(spark, rows))
+    got = {r.doc_id: (r.kept, r.n_removed_lines) for r in out.collect()}
+    assert got[1] == ("a\nb\nc", 0) and got[3] == ("x\ny", 0) and got[None] == (None, 0) and got[2][1] == 3
+    plans.append(plan(out))
+    assert "SortMergeJoin" in plans[1] and "LeftOuter" in next(line for line in plans[-1].splitlines() if "SortMergeJoin" in line)
+    assert not any("BroadcastHashJoin" in p for p in plans)
