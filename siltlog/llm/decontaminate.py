@@ -40,6 +40,8 @@ from .common import release, written
 BITS = 14
 #: Rows of norm 1 that all passages of the corpus together weigh as much as; passages of the corpus that one product is made of.
 MASS, SPAN = 2000, 200_000
+#: Bytes and texts that are worked on at a time, so that a task's temporaries stay small; passages that are multiplied together.
+PIECE, PIECE_TEXTS, TOGETHER = 1 << 18, 1 << 16, 8
 SCHEMA = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double, first_word long"
 _DROP = bytes(c for c in range(128) if not chr(c).isalnum())
 
@@ -71,9 +73,11 @@ def document_frequencies(docs: DataFrame, block: int) -> tuple[np.ndarray, int,
         total, n, m = np.zeros(size, dtype=np.int64), 0, 0
         for batch in batches:
             n += len(batch)
-            for _, _, data, offsets in tk.slices(batch.column(0)):
+            for _, _, data, offsets in tk.slices(batch.column(0), PIECE, PIECE_TEXTS):
                 w = words_of(data, offsets)
-                total += np.bincount(np.unique(w.text_of * size + _bucket(w.hashes)) % size, minlength=size)
+                keys = w.text_of.astype(np.int32) << BITS | _bucket(w.hashes).astype(np.int32)
+                keys.sort()
+                total += np.bincount(keys[np.diff(keys, prepend=-1) != 0] & (size - 1), minlength=size)
                 m += len(passages(w, block)[0])
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [size, size + 1])), pa.array(np.append(total[at], [n, m]))], names=["c", "n"])
@@ -107,14 +111,21 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def frequencies(group: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(group, hashed word, 1 + log of its number of places in the group) by groups: a word that is repeated does not outweigh the others."""
-    keys, n = np.unique((group.astype(np.int64) << BITS) | at, return_counts=True)
+    keys = (group.astype(np.int64) << BITS) | at
+    if not len(keys):
+        return keys, keys, np.zeros(0, dtype=np.float32)
+    if int(group[-1]) >> (31 - BITS) == 0:  # groups come in their order
+        keys = keys.astype(np.int32)
+    keys.sort()
+    new = np.flatnonzero(np.diff(keys, prepend=-1))
+    keys, n = keys[new].astype(np.int64), np.diff(new, append=len(keys))
     return keys >> BITS, keys & ((1 << BITS) - 1), (1 + np.log(n)).astype(np.float32)
 
 
 def passage_lists(batches, block: int):
-    """(words, texts, places of the words, lengths) of the passages in batches of texts, of about a million bytes at a time."""
+    """(words, texts, places of the words, lengths) of the passages in batches of texts, of about PIECE bytes at a time."""
     for batch in batches:
-        for _, _, data, offsets in tk.slices(batch.column(0), 1 << 20):
+        for _, _, data, offsets in tk.slices(batch.column(0), PIECE, PIECE_TEXTS):
             w = words_of(data, offsets)
             text, first, end = passages(w, block)
             if len(text):
@@ -149,14 +160,6 @@ def fitted_rows(docs: DataFrame, n: int, m: int, questions: DataFrame, block: in
     return written(taken.unionByName(asked).repartition(8), "passages")
 
 
-def _sums(value: np.ndarray, table: np.ndarray, pick: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The sum of value * table[pick] over each group, which begin at `first`; one at a time, so that what is picked stays in the cache."""
-    out = np.empty((len(first), table.shape[1]), dtype=np.float32)
-    for i, (lo, hi) in enumerate(zip(first.tolist(), [*first[1:].tolist(), len(pick)], strict=True)):
-        np.dot(value[lo:hi], table.take(pick[lo:hi], axis=0), out=out[i])
-    return out
-
-
 class _Rows:
     """The weighted matrix of some passages, given by their hashed words and lengths; a row is a passage, scaled to a norm of its weight."""
 
@@ -167,14 +170,27 @@ class _Rows:
         norm = np.sqrt(np.add.reduceat(self.value**2, self.first))
         self.value = (self.value * (weight / norm)[self.row]).astype(np.float32)
 
-    def times(self, basis: np.ndarray) -> np.ndarray:
-        return _sums(self.value, basis, self.at, self.first)
-
-    def back(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(words, sums): the transposed matrix times y, for the words that occur."""
-        order = np.argsort(self.at.astype(np.uint16), kind="stable")
-        keys, starts = np.unique(self.at[order], return_index=True)
-        return keys, _sums(self.value[order], y, self.row[order], starts)
+    def add_product(self, total: np.ndarray, basis: np.ndarray) -> None:
+        """Adds the transposed matrix times the matrix times basis to total.
+
+        TOGETHER rows at a time are a dense matrix of the words that they hold: rows that follow each other share many words,
+        and each word's part of basis and total is read once for all of them.
+        """
+        group = self.row // TOGETHER
+        keys = group << BITS | self.at
+        order = np.argsort(keys)
+        keys, row = keys[order], self.row[order]
+        new = np.diff(keys, prepend=-1) != 0
+        words, of = keys[new] & ((1 << BITS) - 1), keys >> BITS
+        n = int(group[-1]) + 1
+        ends = np.searchsorted(keys[new] >> BITS, np.arange(n + 1))
+        many, rows = np.diff(ends), np.minimum(TOGETHER, len(self.first) - TOGETHER * np.arange(n))
+        starts = np.append(0, np.cumsum(many * rows))
+        dense = np.zeros(int(starts[-1]), dtype=np.float32)
+        dense[starts[of] + (row - of * TOGETHER) * many[of] + np.cumsum(new) - 1 - ends[of]] = self.value[order]
+        for k, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+            part, at = dense[starts[k] : starts[k + 1]].reshape(-1, hi - lo), words[lo:hi]
+            total[at] += part.T @ (part @ basis.take(at, axis=0))
 
     def add_up(self, total: np.ndarray, rng: np.random.Generator) -> None:
         """Adds each row, with a random sign, to a random column of total."""
@@ -216,8 +232,7 @@ def fit_basis(rows: DataFrame, idf: np.ndarray, rank: int, power: int = 1, seed:
             for m in made(batches):
                 seen[m.at] = True
                 if kept:
-                    keys, sums = m.back(m.times(kept.value))
-                    total[keys] += sums
+                    m.add_product(total, kept.value)
                 else:
                     m.add_up(total, rng)
             at = np.flatnonzero(seen)
@@ -267,11 +282,12 @@ def fit_basis(rows: DataFrame, idf: np.ndarray, rank: int, power: int = 1, seed:
 
 def directions(q: np.ndarray, product: np.ndarray, rank: int) -> np.ndarray:
     """The first eigenvectors of a symmetric matrix without negative eigenvalues, from orthonormal columns and its product with them (Nystroem)."""
-    q, product = q.astype(np.float64), product.astype(np.float64)
-    small = q.T @ product
+    parts = [slice(lo, lo + 2048) for lo in range(0, len(q), 2048)]  # in double precision some rows at a time
+    small = sum(q[at].T.astype(np.float64) @ product[at].astype(np.float64) for at in parts)
     values, turn = np.linalg.eigh((small + small.T) / 2)
-    root = np.sqrt(np.maximum(values, max(1e-6 * values[-1], 1e-30)))
-    return np.linalg.svd(product @ (turn / root), full_matrices=False)[0][:, :rank].astype(np.float32)
+    turn /= np.sqrt(np.maximum(values, max(1e-6 * values[-1], 1e-30)))
+    turned = np.concatenate([product[at].astype(np.float64) @ turn for at in parts])
+    return np.linalg.svd(turned, full_matrices=False)[0][:, :rank].astype(np.float32)
 
 
 def lcs(masks: dict, length: int, words: list) -> int:

@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from siltlog.llm import decontaminate as dc
 
@@ -200,3 +202,62 @@ def test_basis_is_fitted_on_every_passage(spark, monkeypatch):
         a[i] *= weight / np.linalg.norm(a[i])
     exact = np.linalg.svd(a[:, a.any(axis=0)], compute_uv=False)[:rank]
     assert np.allclose(basis.T @ basis, np.eye(rank), atol=1e-3) and np.linalg.norm(a @ basis) ** 2 >= 0.9 * (exact**2).sum()
+
+
+def texts_of(n, words):
+    rng = random.Random(10)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(5000)]
+    return pa.RecordBatch.from_arrays([pa.array([" ".join(vocabulary[min(rng.randrange(5000), rng.randrange(5000))] for _ in range(words)) for _ in range(n)])], names=["text"])
+
+
+def test_product_of_rows_against_the_whole_matrix():
+    """Rows that are multiplied together, the last of them fewer, equal the plain product; so do rows of one word."""
+    rng = np.random.default_rng(3)
+    idf, basis = rng.uniform(1, 2, 1 << dc.BITS).astype(np.float32), rng.normal(size=(1 << dc.BITS, 9)).astype(np.float32)
+    for n in (1, dc.TOGETHER, 5 * dc.TOGETHER + 3):
+        lengths = rng.integers(1, 40, n)
+        at, weight = rng.integers(0, 1 << dc.BITS, lengths.sum()) // rng.integers(1, 4000, lengths.sum()), rng.uniform(0.1, 4, n)
+        a = np.zeros((n, 1 << dc.BITS))
+        for i, part in enumerate(np.split(at, np.cumsum(lengths)[:-1])):
+            words, many = np.unique(part, return_counts=True)
+            a[i, words] = (1 + np.log(many)) * idf[words]
+            a[i] *= weight[i] / np.linalg.norm(a[i])
+        total = np.ones((1 << dc.BITS, 9), dtype=np.float32)
+        dc._Rows(at, lengths, weight, idf).add_product(total, basis)
+        assert np.allclose(total - 1, a.T @ (a @ basis), atol=1e-4)
+
+
+def test_a_task_holds_little():
+    """Counting and multiplying a batch of texts takes little memory besides the batch and the sums."""
+    batch, size = texts_of(2000, 400), 1 << dc.BITS
+    idf, basis = np.ones(size, dtype=np.float32), np.ones((size, 216), dtype=np.float32)
+    total = np.zeros((size, 216), dtype=np.float32)
+
+    class Docs:
+        def select(self, _):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            self.counted = sum(len(x) for x in run(iter([batch])))
+            return self
+
+        def groupBy(self, _):  # noqa: N802
+            raise InterruptedError
+
+    assert batch.nbytes > 5_000_000
+    tracemalloc.start()
+    docs = Docs()
+    try:
+        dc.document_frequencies(docs, 20)
+    except InterruptedError:
+        assert docs.counted > 1000
+    counted = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    for w, _, at, lengths in dc.passage_lists([batch], 20):
+        dc._Rows(dc._bucket(w.hashes)[at], lengths, 1.0, idf).add_product(total, basis)
+    multiplied = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    assert dc.directions(np.linalg.qr(basis + np.eye(size, 216, dtype=np.float32))[0], total, 192).shape == (size, 192)
+    turned = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counted < 20e6 and multiplied < 30e6 and turned < 110e6
