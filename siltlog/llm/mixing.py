@@ -87,7 +87,9 @@ def mix(rows: DataFrame, order: list[str], source: str = "source", parts: DataFr
         weights = written(named.select("_source").distinct().join(given, "_source", "left").select("_source", F.coalesce("parts", F.lit(1)).alias("parts")), "weights")
     slots = weights.agg(F.sum("parts")).first()[0] or 1
     heavy = turns(weights.where("parts > 1"), "_source", slots)
-    free = F.lit(sorted(r["slot"] - i for i, r in enumerate(sorted(heavy, key=lambda r: r["slot"])))) if heavy else F.array().cast("array<bigint>")
+    # one literal for all of them: one each would be a call of the JVM and a node of every later plan
+    free = sorted(r["slot"] - i for i, r in enumerate(sorted(heavy, key=lambda r: r["slot"])))
+    free = F.split(F.lit(",".join(map(str, free))), ",").cast("array<bigint>") if heavy else F.array().cast("array<bigint>")
     light = ranked(weights.where("parts = 1").withColumn("_one", F.lit(1)), ["_one"], ["_source"], "_r").select("_source", F.lit(1).alias("_parts"), (F.col("_r") + F.size(F.filter(free, lambda s: s <= F.col("_r")))).alias("_alone"))
     about = light.unionByName(weights.where("parts > 1").select("_source", F.col("parts").alias("_parts"), F.lit(None).cast("long").alias("_alone")))
     table = spark.createDataFrame([(r["source"], r["turn"], r["slot"]) for r in heavy], "_source string, turn int, _slot long")

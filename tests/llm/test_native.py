@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from siltlog.llm import chat, line_dedup, mixing, queries, sharding
+from siltlog.llm import chat, common, line_dedup, mixing, queries, sharding
 
 from helpers import clashing, documents
 
@@ -267,6 +267,30 @@ def test_many_sources(spark):
         assert abs(done - p * (t + 1) / cycle) < 1
 
 
+def test_turns_are_no_calls_of_the_driver(spark, monkeypatch):
+    """A schedule of 1000 turns takes hardly more calls of the driver's JVM than one of 20, and both place all rows."""
+    rows = documents(spark, [(i, "t", "en", f"s{i % 4}") for i in range(400)])
+    client, calls = spark.sparkContext._gateway._gateway_client, []
+    send = client.send_command
+    monkeypatch.setattr(client, "send_command", lambda *a, **k: calls.append(1) or send(*a, **k))
+    many = []
+    for cycle in (20, 1000):
+        calls.clear()
+        out = mixing.mix_documents(rows, cycle=cycle)
+        many.append(len(calls))
+        assert sorted(r.position for r in out.collect()) == list(range(400))
+    assert many[1] < many[0] + 300
+
+
+def test_a_full_heap_of_the_driver_is_collected(spark, monkeypatch):
+    """After a table is written, and only where more than the given share of the heap is taken."""
+    calls = []
+    monkeypatch.setattr(common, "release", lambda _: calls.append(1))
+    for full, want in ((0, 1), (1, 1)):
+        monkeypatch.setattr(common, "FULL", full)
+        assert common.written(spark.range(5), "five").count() == 5 and len(calls) == want
+
+
 def test_very_long_turns_are_kept(spark):
     n = 24_000_000
     rows = spark.range(2).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.when(F.col("id") == 0, F.lit("q")).otherwise(F.repeat(F.lit('a"\\<'), n // 4)).alias("text"))
