@@ -6,11 +6,15 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
+from ..sizes import parts
+
 KEY = 64
+#: Input bytes whose keys make one partition; a record of some 20 bytes sets up to 20 places.
+PART = 1 << 18
 # Fixed values of the FNV-1a hash.
 FNV_START, FNV_PRIME = 14695981039346656037, 1099511628211
 
@@ -52,13 +56,19 @@ def places(keys: pd.Series, size: pd.Series, funcs: pd.Series) -> pd.Series:
 
 
 def build(headers: DataFrame, block: int = 40, bits: int = 40 * 128) -> DataFrame:
-    """base, size, funcs, place: the places that the live keys of each base set (headers: base, key, flags)."""
-    live = headers.where(F.col("flags").bitwiseAND(F.lit(1)) == 0)
-    n = headers.groupBy("base").agg(F.count(F.lit(1)).alias("n"))
+    """base, size, funcs, place: the places that the live keys of each base set (headers: base, key, flags).
+
+    Keys are shuffled by base and their places, up to twenty times as many rows, by base and place, both in partitions that
+    PART bytes of input fill; a base has a bounded size.
+    """
+    n_parts = parts(headers, PART)
+    cut = headers.where(F.col("base").isNotNull()).select("base", "key", "flags").repartition(n_parts, "base")
+    n = F.count(F.lit(1)).over(Window.partitionBy("base"))
     size = ((F.floor(F.col("n") / block) + 1) * bits / 8).cast("long")
     funcs = F.greatest(F.lit(1), F.least(F.lit(20), F.floor(F.floor(8 * F.col("size") / F.greatest(F.col("n"), F.lit(1))) * 0.69))).cast("int")
-    sized = n.withColumn("size", size).withColumn("funcs", funcs).select("base", "size", "funcs")
-    return live.join(sized, "base").select("base", "size", "funcs", F.explode(places("key", "size", "funcs")).alias("place")).distinct()
+    sized = cut.withColumn("n", n).withColumn("size", size).withColumn("funcs", funcs)
+    live = sized.where(F.col("flags").bitwiseAND(F.lit(1)) == 0)
+    return live.select("base", "size", "funcs", F.explode(places("key", "size", "funcs")).alias("place")).repartition(n_parts, "base", "place").distinct()
 
 
 def may_contain(keys: DataFrame, filters: DataFrame) -> DataFrame:

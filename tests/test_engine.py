@@ -420,3 +420,15 @@ def test_log_lines_carry_their_trace():
         out.log(siltlog_log.NOTICE, "seen")
         out.debug("not seen")
     assert len(lines) == 1 and " 00000000000000ab NOTICE: seen" in lines[0]
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bloom_places_are_deduplicated_in_small_parts(spark, sf):
+    made = catalogue.queries()["bloom_filter"](spark, sf)
+    aggregate, *below = [line for line in plan_of(made).splitlines() if "HashAggregate" in line or "Exchange" in line]
+    assert "HashAggregate" in aggregate and "HashAggregate" in below[0]
+    # no table of places before they are dealt out, and none is sent to all
+    assert all("REPARTITION_BY_NUM" in line for line in below[1:]) and len(below) == 3
