@@ -339,7 +339,7 @@ def bloom_filter(spark, sf):
 @query(f"with {BLOOM}, f as (select distinct base, place from pb where c_custkey % 4 <> 0), held as (select c_custkey, pb.base, min(case when f.place is null then 0 else 1 end) as every from pb left join f on f.base = pb.base and f.place = pb.place group by 1, 2) select c_custkey from held where every = 1")
 def bloom_lookup(spark, sf):
     keys = _customer_keys(spark, sf)
-    return bloom.may_contain(keys.select("base", "key"), bloom.build(keys)).join(keys.select("base", "key", "c_custkey"), ["base", "key"]).select("c_custkey")
+    return bloom.may_contain(keys.select("base", "key"), bloom.build(keys)).join(keys.select("base", "key", "c_custkey").hint("merge"), ["base", "key"]).select("c_custkey")
 
 
 @query("select c_custkey, list_sum(list_transform(range(8), lambda i: ascii(substr(c_name, i::int + 1, 1))))::bigint as sum8 from customer")

@@ -71,12 +71,30 @@ def build(headers: DataFrame, block: int = 40, bits: int = 40 * 128) -> DataFram
     return live.select("base", "size", "funcs", F.explode(places("key", "size", "funcs")).alias("place")).repartition(n_parts, "base", "place").distinct()
 
 
+def _held(keys: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
+    """The keys of one base that its filter does not rule out, each once."""
+    keys = keys.drop_duplicates("key")
+    if not len(keys) or not len(filters):
+        return keys[:0]
+    size, funcs = int(filters["size"].iloc[0]), int(filters["funcs"].iloc[0])
+    held = np.zeros(size, dtype=bool)
+    held[filters["place"].to_numpy()] = True
+    a, b = (x % np.uint64(size) for x in key_hashes([bytes(k) for k in keys["key"]]))
+    ok = held[a] & held[b]
+    for i in range(2, funcs):
+        ok &= held[(a + np.uint64(i) * b) % np.uint64(size)]
+    return keys[ok]
+
+
 def may_contain(keys: DataFrame, filters: DataFrame) -> DataFrame:
-    """(base, key) pairs of `keys` (base, key) that the base's filter does not rule out."""
-    sized = filters.select("base", "size", "funcs").distinct()
-    asked = keys.join(sized, "base").select("base", "key", F.explode(places("key", "size", "funcs")).alias("place"))
-    held = asked.join(filters.select("base", "place", F.lit(1).alias("set")), ["base", "place"], "left")
-    return held.groupBy("base", "key").agg(F.min(F.coalesce("set", F.lit(0))).alias("all")).where("all = 1").select("base", "key")
+    """(base, key) pairs of `keys` (base, key) that the base's filter does not rule out.
+
+    Keys and filters meet by base, which has a bounded size, in partitions of PART bytes of input: no row for each place of a
+    key, and nothing is broadcast.
+    """
+    n = parts(keys, PART, filters)
+    asked = keys.select("base", "key").repartition(n, "base").groupBy("base")
+    return asked.cogroup(filters.repartition(n, "base").groupBy("base")).applyInPandas(_held, keys.select("base", "key").schema)
 
 
 def column_sum8(key: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltlog import catalogue, files
 from siltlog import log as siltlog_log
-from siltlog.functions import checksum
+from siltlog.functions import bloom, checksum
 from siltlog.functions import records as fr
 from siltlog.operators import headers, maintain, reads, segments, state
 from siltlog.plans.store import Store, StoreConfig, free_space_error, id_of, key_of, next_defrag
@@ -432,3 +432,13 @@ def test_bloom_places_are_deduplicated_in_small_parts(spark, sf):
     assert "HashAggregate" in aggregate and "HashAggregate" in below[0]
     # no table of places before they are dealt out, and none is sent to all
     assert all("REPARTITION_BY_NUM" in line for line in below[1:]) and len(below) == 3
+
+
+def test_bloom_lookup_meets_by_base(spark):
+    key = lambda i: bytes([i]) * 32
+    rows = [(b, key(i), 0) for b in (1, 2) for i in range(b * 20, b * 20 + 20)] + [(3, key(1), 1), (None, key(2), 0)]
+    filters = bloom.build(spark.createDataFrame(rows, "base long, key binary, flags long"))
+    asked = spark.createDataFrame([(1, key(20)), (1, key(20)), (2, key(20)), (2, key(45)), (3, key(1)), (4, key(1)), (None, key(2))], "base long, key binary")
+    found = bloom.may_contain(asked, filters)
+    assert sorted((r.base, bytes(r.key)) for r in found.collect()) == [(1, key(20)), (2, key(45))]
+    assert "Broadcast" not in plan_of(found)
