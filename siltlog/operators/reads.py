@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import checksum
 from ..functions.records import HEADER, REMOVE, UNCOMMITTED
+from ..sizes import parts
 
 #: Ranges up to this number become one predicate, which reaches the Parquet scan.
 PREDICATE_RANGES = 64
+#: Input bytes that make one partition of `in_ranges`.
+PART = 2 << 20
 
 
 def lookup(state: DataFrame, key) -> DataFrame:
@@ -78,21 +81,29 @@ def _last_start(value: Column, starts: Column, n: int) -> Column:
 def in_ranges(rows: DataFrame, ranges: DataFrame, key: str = "key", cuts: int = 64) -> DataFrame:
     """Rows whose key lies in any inclusive range of a table (start, end) of any size, each once; ranges may overlap.
 
-    Keys and ranges are sorted together, in as many parts as `cuts` from a sample of the keys make, and a running maximum of the
-    ends tells whether a range that has begun reaches the key. A range that spans parts begins again in each. The cuts
-    steer only the plan. Null keys and empty ranges match nothing.
+    Keys and ranges are sorted together, in parts that a sample of all keys cuts to one size (at least `cuts`, and more the larger
+    the input), and a running maximum of the ends tells whether a range that has begun reaches the key. A part begins with the
+    largest end of the ranges that begin before it. The cuts steer only the plan. Null keys and empty ranges match nothing.
     """
+    spark, n = rows.sparkSession, parts(rows, PART, ranges)
+    cuts = max(cuts, 4 * n)  # several to a task, so that tasks are even
     keys = rows.select(F.col(key).alias("k")).where(F.col("k").isNotNull())
-    few = [r["k"] for r in keys.sample(0.01, 1).limit(20 * cuts).distinct().orderBy("k").collect()]
-    marks = few[:: max(1, len(few) // cuts)]
+    share = min(1.0, 20 * cuts / max(1, keys.count()))
+    few = sorted(r["k"] for r in keys.sample(share, 1).collect())
+    marks = sorted(set(few[:: max(1, len(few) // cuts)]))
     good = ranges.select("start", "end").where("start <= end")
     part = lambda c: _last_start(c, F.array(*[F.lit(m) for m in marks]), len(marks)) if marks else F.lit(-1)
-    spread = good.withColumn("_p", F.explode(F.sequence(part(F.col("start")), part(F.col("end")))))
-    opened = spread.select("_p", F.col("start").alias("_k"), F.lit(0).alias("_is_row"), F.col("end").alias("_end"), F.lit(None).alias("_row"))
-    whole = F.struct(*rows.columns)
-    asked = rows.where(F.col(key).isNotNull()).select(part(F.col(key)).alias("_p"), F.col(key).alias("_k"), F.lit(1).alias("_is_row"), F.lit(None).alias("_end"), whole.alias("_row"))
-    kind = asked.schema["_row"].dataType
-    both = opened.withColumn("_row", F.col("_row").cast(kind)).unionByName(asked.withColumn("_end", F.col("_end").cast(good.schema["end"].dataType)))
+    opened = good.select(F.lit(None).cast("int").alias("_first"), F.col("start").alias("_k"), F.lit(0).alias("_is_row"), F.col("end").alias("_end"))
+    ends = good.groupBy(part(F.col("start")).alias("_first")).agg(F.max("end").alias("_top"))
+    every = spark.range(-1, len(marks), 1, 1).select(F.col("id").cast("int").alias("_first")).join(ends, "_first", "left")
+    so_far = F.max("_top").over(Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1))  # one row for each part
+    carried = every.select("_first", F.lit(None).cast(good.schema["start"].dataType).alias("_k"), F.lit(0).alias("_is_row"), so_far.alias("_end"))
+    # exploded: what the optimizer infers of a key and its copy in the row makes it fail on the union
+    asked = rows.where(F.col(key).isNotNull()).select(F.explode(F.array(F.struct(F.col(key).alias("_k"), F.struct(*rows.columns).alias("_row")))).alias("_z"))
+    asked = asked.select(F.lit(None).cast("int").alias("_first"), "_z._k", F.lit(1).alias("_is_row"), F.lit(None).cast(good.schema["end"].dataType).alias("_end"), "_z._row")
+    none = F.lit(None).cast(asked.schema["_row"].dataType).alias("_row")
+    both = opened.select("*", none).unionByName(carried.select("*", none)).unionByName(asked)
+    both = both.select(F.coalesce("_first", part(F.col("_k"))).alias("_p"), "_k", "_is_row", "_end", "_row").repartition(n, "_p")
     reach = F.max("_end").over(Window.partitionBy("_p").orderBy("_k", "_is_row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return both.withColumn("_reach", reach).where((F.col("_is_row") == 1) & (F.col("_reach") >= F.col("_k"))).select("_row.*")
 

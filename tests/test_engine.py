@@ -442,3 +442,14 @@ def test_bloom_lookup_meets_by_base(spark):
     found = bloom.may_contain(asked, filters)
     assert sorted((r.base, bytes(r.key)) for r in found.collect()) == [(1, key(20)), (2, key(45))]
     assert "Broadcast" not in plan_of(found)
+
+
+def test_cuts_of_ranges_come_from_all_keys(spark, tmp_path):
+    spark.range(0, 400_000, 1, 4).select(F.col("id").alias("k")).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    table = spark.createDataFrame([(0, 399_998), (5, 6)], "start long, end long")
+    found = reads.in_ranges(rows, table, "k")
+    found.write.parquet(f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 399_999
+    many = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(many) < 250_000
