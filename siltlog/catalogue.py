@@ -49,8 +49,8 @@ def _state(spark, sf):
     return state.current(_log(spark, sf)).withColumn("data", F.decode("data", "UTF-8"))
 
 
-def _records(spark, sf):
-    return item_records(table(spark, sf, "lineitem"))
+def _records(spark, sf, dealt=False):
+    return item_records(table(spark, sf, "lineitem"), dealt)
 
 
 @query(f"with {STATE} select key, data, data_size from cur")
@@ -218,17 +218,17 @@ def segment_by_bytes(spark, sf):
 
 @query(f"with {RECORDS} select base, idx, (sum(disk_size) over (partition by base order by idx) - disk_size)::bigint as position from rec")
 def record_positions(spark, sf):
-    return segments.positions(_records(spark, sf)).select("base", "idx", "position")
+    return segments.positions(_records(spark, sf, True)).select("base", "idx", "position")
 
 
 @query(f"with {RECORDS} select base, n // 40 as block, min(key) as start_key, max(key) as end_key, count(*) as n from (select base, key, row_number() over (partition by base order by key, idx) - 1 as n from rec) group by 1, 2")
 def index_blocks(spark, sf):
-    return segments.blocks(_records(spark, sf))
+    return segments.blocks(_records(spark, sf, True))
 
 
 @query(f"with {RECORDS} select base, idx, key, p as previous_key from (select base, idx, key, lag(key) over (partition by base order by idx) as p from rec) where p > key")
 def sort_check(spark, sf):
-    return segments.unsorted_at(_records(spark, sf)).select("base", "idx", "key", "previous_key")
+    return segments.unsorted_at(_records(spark, sf, True)).select("base", "idx", "key", "previous_key")
 
 
 @query(f"with {RECORDS} select base, key, count(*) as n from rec group by 1, 2 having count(*) > 1")
@@ -244,7 +244,7 @@ def compact_live(spark, sf):
 
 @query(f"with {RECORDS} select base, idx, row_number() over (partition by base order by key, flags & 1 desc, idx) - 1 as pos from rec")
 def index_sort(spark, sf):
-    return maintain.index_order(_records(spark, sf)).select("base", "idx", F.col("pos").cast("long").alias("pos"))
+    return maintain.index_order(_records(spark, sf, True)).select("base", "idx", F.col("pos").cast("long").alias("pos"))
 
 
 MERGE = RECORDS + """, p as (select *, (sum(disk_size) over (partition by base order by idx) - disk_size)::bigint as position, (sum(disk_size) over (partition by base) - case when base % 2 = 0 then 200 else 0 end)::bigint as file_size from rec),
@@ -252,7 +252,7 @@ MERGE = RECORDS + """, p as (select *, (sum(disk_size) over (partition by base o
 
 
 def _merge_input(spark, sf):
-    p = segments.positions(_records(spark, sf))
+    p = segments.positions(_records(spark, sf, True))
     size = F.sum("disk_size").over(Window.partitionBy("base")) - F.when(F.col("base") % 2 == 0, 200).otherwise(0)
     return p.withColumn("file_size", size).withColumn("input", F.col("base")).withColumn("target", F.expr("base div 4"))
 
@@ -405,7 +405,7 @@ PAIRS = RECORDS + """, ix as (select *, (sum(disk_size) over (partition by base
 
 
 def _both_headers(spark, sf):
-    index = segments.positions(_records(spark, sf))
+    index = segments.positions(_records(spark, sf, True))
     i = F.col("idx")
     data = index.where(i % 23 != 5).withColumns({"flags": F.when(i % 17 == 0, 1).otherwise(F.col("flags")).cast("long"), "data_size": F.when(i % 19 == 0, F.col("data_size") + 1).otherwise(F.col("data_size")), "disk_size": F.when(i % 29 == 0, F.col("disk_size") + 8).otherwise(F.col("disk_size"))})
     return index, data
@@ -448,7 +448,7 @@ DAMAGED = RECORDS + """, dm as (select base, idx, key, flags, case when idx % 31
 
 
 def _damaged(spark, sf):
-    whole = segments.positions(_records(spark, sf)).withColumn("file_size", F.sum("disk_size").over(Window.partitionBy("base")) - F.when(F.col("base") % 2 == 0, 500).otherwise(0))
+    whole = segments.positions(_records(spark, sf, True)).withColumn("file_size", F.sum("disk_size").over(Window.partitionBy("base")) - F.when(F.col("base") % 2 == 0, 500).otherwise(0))
     hole = F.col("idx") % 31 == 7
     short = (F.col("base") % 3 == 0) & (F.col("idx") == 90)
     return whole.withColumns({"data_size": F.when(hole, 0).otherwise(F.col("data_size")).cast("long"), "disk_size": F.when(hole, 0).when(short, 50).otherwise(F.col("disk_size")).cast("long")})
@@ -478,12 +478,12 @@ def validity_report(spark, sf):
 
 @query(f"with {RECORDS} select base, idx, lower(hex(encode(substr(key, 1, 6)))) || ': data_size: ' || data_size || ', disk_size: ' || disk_size || ', position: ' || position || ', flags: 0x' || lower(hex(flags)) || case when flags = 1 then ' [remove]' else ' [chunked_csum]' end as line from (select *, (sum(disk_size) over (partition by base order by idx) - disk_size)::bigint as position from rec)")
 def header_lines(spark, sf):
-    return segments.positions(_records(spark, sf)).select("base", "idx", fr.render_header(*(F.col(c) for c in ("key", "flags", "data_size", "disk_size", "position"))).alias("line"))
+    return segments.positions(_records(spark, sf, True)).select("base", "idx", fr.render_header(*(F.col(c) for c in ("key", "flags", "data_size", "disk_size", "position"))).alias("line"))
 
 
 @query(f"with {RECORDS} select key, base, idx, position, position + 96 as data_offset, data_size, disk_size, flags from (select *, (sum(disk_size) over (partition by base order by idx) - disk_size)::bigint as position from rec) where flags & 1 = 0")
 def record_locations(spark, sf):
-    return reads.locations(reads.scan(segments.positions(_records(spark, sf))))
+    return reads.locations(reads.scan(segments.positions(_records(spark, sf, True))))
 
 
 @query(f"with {RECORDS} select base, idx, key from rec where flags & 1 = 0 and base % 2 <> 0")
@@ -600,7 +600,7 @@ RUN = PLAN + """, ap as (select dp.base, action, case when action = 'sort' then
 
 @query(f"with recursive {RUN} select target as base, base as from_base, key, idx, position, false as is_new from lv where action = 'skip' union all select target, base, key, row_number() over (partition by target order by key, base, idx) - 1, (sum(disk_size) over (partition by target order by key, base, idx) - disk_size)::bigint, true from lv where action = 'sort'")
 def defrag_run(spark, sf):
-    return maintain.apply_plan(segments.positions(_records(spark, sf)), _plan(spark, sf)[1]).select("base", "from_base", "key", "idx", "position", "is_new")
+    return maintain.apply_plan(segments.positions(_records(spark, sf, True)), _plan(spark, sf)[1]).select("base", "from_base", "key", "idx", "position", "is_new")
 
 
 @query(f"with {RECORDS} select base, key, idx, (sum(disk_size) over (partition by base order by idx) - disk_size)::bigint as new_position from rec where flags & 1 = 0 and base in (select base from rec where flags & 1 <> 0)")

@@ -453,3 +453,9 @@ def test_cuts_of_ranges_come_from_all_keys(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 399_999
     many = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
     assert max(many) < 250_000
+
+
+def test_index_report_deals_records_out_once(spark, sf):
+    plan = plan_of(catalogue.queries()["sorted_index_report"](spark, sf))
+    shuffles = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(shuffles) == 1 and "REPARTITION_BY_NUM" in shuffles[0]
